@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.log import SLICE_MS
-from eventloom.operators.sequence import neighbours
+from eventloom.operators.sequence import neighbours, with_slice
 
 
 def _batch_pairs(log: DataFrame, slice_ms: int) -> DataFrame:
     """One row per antecedent label x consequent label x neighbouring batches of a case."""
     counted = log.groupBy("case", "ms", "label").agg(F.count(F.lit(1)).alias("n"))
-    # One array entry per distinct label of the batch, never one per event.
-    batches = counted.groupBy("case", "ms").agg(F.collect_list(F.struct("label", "n")).alias("batch"))
-    steps = neighbours(batches, F.col("batch"), order=("ms",), slice_ms=slice_ms)
+    # One array entry per distinct label of the batch, never one per event. Grouping
+    # batches after the shuffle by (case, slice) costs no shuffle of its own.
+    batches = (with_slice(counted, slice_ms).repartition("case", "slice")
+               .groupBy("case", "slice", "ms").agg(F.collect_list(F.struct("label", "n")).alias("batch")))
+    steps = neighbours(batches, F.col("batch"), order=("ms",), partitioned=True)
     return (steps.select(F.explode("prev.v").alias("p"), F.col("next.v").alias("s"))
                  .select("p", F.explode("s").alias("s")))
 

@@ -24,7 +24,7 @@ def with_slice(df: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
 
 def neighbours(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",),
                order: Sequence[str] = EVENT_ORDER, endpoints: bool = False,
-               slice_ms: int = SLICE_MS) -> DataFrame:
+               slice_ms: int = SLICE_MS, partitioned: bool = False) -> DataFrame:
     """Adjacent rows of every group: ``keys, prev, next``.
 
     With ``endpoints`` the first row of a group also appears with a NULL ``prev``
@@ -32,12 +32,14 @@ def neighbours(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",),
     that single row only.
 
     One shuffle by (keys, slice) feeds both levels; the second shuffle moves one row
-    per slice.
+    per slice. ``partitioned`` says that ``df`` has a ``slice`` column and is already
+    partitioned by (keys, slice).
     """
     keys = list(keys)
-    parts = (with_slice(df, slice_ms)
-             .select(*keys, "slice", F.struct(*order).alias("at"), F.struct(payload.alias("v")).alias("item"))
-             .repartition(*keys, "slice"))
+    parts = df if partitioned else with_slice(df, slice_ms)
+    parts = parts.select(*keys, "slice", F.struct(*order).alias("at"), F.struct(payload.alias("v")).alias("item"))
+    if not partitioned:
+        parts = parts.repartition(*keys, "slice")
     inner = (parts.select(*keys, F.col("item").alias("prev"),
                           F.lead("item").over(Window.partitionBy(*keys, "slice").orderBy("at")).alias("next"))
              .filter(F.col("next").isNotNull())
