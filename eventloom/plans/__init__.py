@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("mining",)
+AREAS = ("mining", "streams")
 
 
 def load_all() -> None:
