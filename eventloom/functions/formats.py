@@ -170,7 +170,7 @@ def timestamp_to_char(ts: Column, fmt: str = "DD-MON-YY HH.MI.SS.FF PM") -> Colu
                 "DDD": lambda: F.dayofyear(ts), "DD": lambda: two(F.dayofmonth(ts)), "D": lambda: F.dayofweek(ts),
                 "J": lambda: F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) + 2440588,
                 "HH24": lambda: two(F.hour(ts)), "HH12": lambda: two(F.hour(ts) % 12), "HH": lambda: two(F.hour(ts) % 12),
-                "MI": lambda: two(F.minute(ts)), "SS": lambda: two(F.second(ts)),
+                "MM": lambda: two(F.month(ts)), "MI": lambda: two(F.minute(ts)), "SS": lambda: two(F.second(ts)),
                 "SSSSS": lambda: F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts),
                 "IW": lambda: dt.week_us(ts), "WW": lambda: dt.week_us(ts), "W": lambda: F.floor(F.dayofmonth(ts) / 7) + 1,
                 "Y,YYY": lambda: F.format_number(year, 0), "Q": lambda: F.quarter(ts), "X": lambda: F.lit("."),

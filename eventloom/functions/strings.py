@@ -207,9 +207,8 @@ def xml_text(s: Column, escape_newline: bool = False) -> Column:
     keep = r"[\x20-\x7F\t]" if escape_newline else r"[\x20-\x7F\t\r\n]"
     coded = F.array_join(F.transform(F.split(out, ""), lambda ch: F.when(
         (ch == "") | ch.rlike(keep), ch).otherwise(F.regexp_replace(
-            F.hex(F.encode(ch, "UTF-16BE")), "0*([0-9A-F]{1,4})(?=([0-9A-F]{4})*$)", "&#x$1;"))), "")
-    lowered = F.when(out.rlike(plain), out).otherwise(coded)
-    return lowered
+            F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "0*([0-9a-f]{1,4})(?=([0-9a-f]{4})*$)", "&#x$1;"))), "")
+    return F.when(out.rlike(plain), out).otherwise(coded)
 
 
 def xml_attr(name, value: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_prime(values: pd.Series) -> pd.Series:
     """A scalar function in Python, one Arrow batch at a time; NULL stays NULL."""
     v = values.to_numpy(dtype="float64", na_value=np.nan)
@@ -27,7 +27,7 @@ def sql_function(spark: SparkSession, name: str, arguments: str, returns: str, e
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {expression}")
 
 
-@F.udtf(returnType="x int, y int")
+@F.udtf(returnType=T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))
 class Matrix:
     """A table function: the n x n index pairs of its argument."""
 

@@ -77,7 +77,7 @@ def bbox_join(left: DataFrame, right: DataFrame, lp: str, rp: str, unit: float =
 
     def laid_out(df, p, levels, tag):
         df = df.withColumn(f"__l{tag}", own_level(p))
-        df = df.withColumn("__lvl", F.explode(F.filter(levels, lambda k: k >= F.col(f"__l{tag}"))))
+        df = df.withColumn("__lvl", F.explode(levels)).filter(F.col("__lvl") >= F.col(f"__l{tag}"))
         cells = lambda lo, hi: F.sequence(_cell(F.col(lo).cast("double"), F.col("__lvl"), unit),
                                           _cell(F.col(hi).cast("double"), F.col("__lvl"), unit))
         df = df.withColumn("__cx", F.explode(cells(f"{p}xmin", f"{p}xmax")))

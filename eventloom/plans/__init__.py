@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("mining", "streams")
+AREAS = ("mining", "streams", "relational", "scalar", "changes", "search")
 
 
 def load_all() -> None:
