@@ -20,12 +20,13 @@ events (ms, tie) has to be unique within a case.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.dfg import dfg
-from eventloom.operators.log import SLICE_MS
-from eventloom.operators.sequence import with_slice
+from eventloom.operators.sequence import hot_cases, split_hot, with_slice
 
 # The measure names of the relation.
 OCCURRENCE = "OCCURRENCE"
@@ -37,54 +38,80 @@ REPETITION = "REPETITION"
 REPETITION_BACK = "REPETITION BACK"
 
 
-def _event_label_rows(events: DataFrame) -> DataFrame:
-    """Each event x beside every other label y of its case and y's first and last place."""
-    spans = events.groupBy("case", F.col("label").alias("y")).agg(F.min("at").alias("f"), F.max("at").alias("l"))
-    # The label spans are laid out per slice first, so that the wide join below has
-    # the key (case, slice) and a huge case is spread over its slices.
-    per_slice = events.select("case", "slice").distinct().join(spans, "case")
-    return (events.withColumnRenamed("label", "x").join(per_slice, ["case", "slice"])
-            .filter(F.col("x") != F.col("y"))
+_KEYS = ["case", "lo", "hi"]
+
+
+def _one(c: Column) -> Column:
+    return F.when(c, 1).otherwise(0).cast("bigint")
+
+
+def _beside_labels(events: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame:
+    """Each event x beside every other label y of its case, with y's first and last place."""
+    return (events.withColumnRenamed("label", "x").join(spans, on).filter(F.col("x") != F.col("y"))
             .withColumn("lo", F.least("x", "y")).withColumn("hi", F.greatest("x", "y")))
 
 
-def _pair_counts(rows: DataFrame) -> DataFrame:
-    """Per (x, y): shared events, and the four position-dependent counts."""
-    keys = ["case", "lo", "hi"]
-    rows = rows.repartition(*keys, "slice")
-    w = Window.partitionBy(*keys, "slice").orderBy("at")
+def _spans(events: DataFrame) -> DataFrame:
+    return events.groupBy("case", F.col("label").alias("y")).agg(F.min("at").alias("f"), F.max("at").alias("l"))
+
+
+def _counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("at")
     nx, pv = F.lead("x").over(w), F.lag("x").over(w)
-    one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
-    inner = rows.select(
-        "x", "y", F.lit(1).cast("bigint").alias("co"),
-        one(F.col("l") < F.col("at")).alias("nf"), one(F.col("f") > F.col("at")).alias("np"),
-        one((nx == F.col("x")) & (F.col("l") > F.col("at"))).alias("rp"),
-        one((pv == F.col("x")) & (F.col("f") < F.col("at"))).alias("rb"))
-    # Neighbours that sit in different slices: the tail of one, the head of the next.
-    edge = F.struct("x", "y", F.col("l") > F.col("at"), F.col("f") < F.col("at"))
-    ends = rows.groupBy(*keys, "slice").agg(F.min_by(edge, "at").alias("head"), F.max_by(edge, "at").alias("tail"))
-    across = Window.partitionBy(*keys).orderBy("slice")
+    return rows.select(
+        "x", "y", F.lit(1).cast("bigint").alias("co"), _one(F.col("l") < F.col("at")).alias("nf"), _one(F.col("f") > F.col("at")).alias("np"),
+        _one((nx == F.col("x")) & (F.col("l") > F.col("at"))).alias("rp"),
+        _one((pv == F.col("x")) & (F.col("f") < F.col("at"))).alias("rb"))
+
+
+def _ordinary_cases(log: DataFrame) -> DataFrame:
+    """All steps are partitioned by the case: one shuffle, of the events themselves."""
+    w = Window.partitionBy("case").orderBy("ms", "tie")
+    events = log.repartition("case").select("case", "label", F.row_number().over(w).cast("bigint").alias("at"))
+    return _counts(_beside_labels(events, _spans(events), ["case"]), _KEYS)
+
+
+def _hot_cases(log: DataFrame) -> DataFrame:
+    """As above inside time slices, plus the neighbours that sit in different slices."""
+    w = Window.partitionBy("case", "slice").orderBy("ms", "tie")
+    # Place in the case as one number: the slice, then the place within it.
+    at = F.shiftleft("slice", 32) + F.row_number().over(w)
+    events = with_slice(log).repartition("case", "slice").select("case", "slice", "label", at.alias("at"))
+    # The label spans are laid out per slice, so that the wide join has the key (case, slice).
+    per_slice = events.select("case", "slice").distinct().join(_spans(events), "case")
+    rows = _beside_labels(events, per_slice, ["case", "slice"])
+    inner = _counts(rows, [*_KEYS, "slice"])
+    edge = F.struct("x", "y", (F.col("l") > F.col("at")).alias("y_later"), (F.col("f") < F.col("at")).alias("y_before"))
+    ends = rows.groupBy(*_KEYS, "slice").agg(F.min_by(edge, "at").alias("head"), F.max_by(edge, "at").alias("tail"))
+    across = Window.partitionBy(*_KEYS).orderBy("slice")
     ends = ends.select("head", "tail", F.lead("head").over(across).alias("after"), F.lag("tail").over(across).alias("before"))
     zero = F.lit(0).cast("bigint")
 
-    def stitched(me, other, flag, rp):
-        hit = one((F.col(f"{me}.x") == F.col(f"{other}.x")) & F.col(f"{me}.{flag}"))
-        return F.struct(F.col(f"{me}.x").alias("x"), F.col(f"{me}.y").alias("y"), zero.alias("co"), zero.alias("nf"),
-                        zero.alias("np"), (hit if rp else zero).alias("rp"), (zero if rp else hit).alias("rb"))
+    def stitched(me, other, flag, to):
+        hit = _one((F.col(f"{me}.x") == F.col(f"{other}.x")) & F.col(f"{me}.{flag}"))
+        return F.struct(F.col(f"{me}.x").alias("x"), F.col(f"{me}.y").alias("y"),
+                        *[(hit if c == to else zero).alias(c) for c in ("co", "nf", "np", "rp", "rb")])
 
-    outer = (ends.select(F.explode(F.array(stitched("tail", "after", "col3", True),
-                                           stitched("head", "before", "col4", False))).alias("e"))
+    outer = (ends.select(F.explode(F.array(stitched("tail", "after", "y_later", "rp"), stitched("head", "before", "y_before", "rb"))).alias("e"))
              .select("e.*").filter((F.col("rp") > 0) | (F.col("rb") > 0)))
-    return (inner.unionByName(outer).groupBy("x", "y")
-            .agg(*[F.sum(c).alias(c) for c in ("co", "nf", "np", "rp", "rb")]))
+    return inner.unionByName(outer)
+
+
+def _pair_counts(log: DataFrame, hot: Sequence[int]) -> DataFrame:
+    """Per (x, y): shared events, and the four counts that depend on places."""
+    cold, warm = split_hot(log, hot)
+    rows = _ordinary_cases(cold)
+    if warm is not None:
+        rows = rows.unionByName(_hot_cases(warm))
+    return rows.groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in ("co", "nf", "np", "rp", "rb")])
 
 
-def controller(log: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+def controller(log: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
     """``type, event_label_p, event_label_s, frequency``."""
     log = log.filter(F.col("label").isNotNull())
-    events = with_slice(log, slice_ms).select("case", "slice", "label", F.struct("ms", "tie").alias("at"))
-    occ = events.groupBy(F.col("label").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = _pair_counts(_event_label_rows(events))
+    hot = hot_cases(log) if hot is None else hot
+    occ = log.groupBy(F.col("label").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = _pair_counts(log, hot)
     # The result itself has a row per ordered pair of labels, shared case or not:
     # this inequality join runs over the alphabet and never over events.
     grid = occ.join(occ.select(F.col("x").alias("y")), F.col("x") != F.col("y"))
@@ -98,6 +125,6 @@ def controller(log: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
                 .filter(F.col("frequency") != 0))
     counts = occ.select(F.lit(OCCURRENCE).alias("type"), F.col("x").alias("event_label_p"),
                         F.col("x").alias("event_label_s"), F.col("n").alias("frequency"))
-    steps = dfg(log, with_endpoints=False, slice_ms=slice_ms).select(
+    steps = dfg(log, with_endpoints=False, hot=hot).select(
         F.lit(DIRECTLY_FOLLOWS).alias("type"), "event_label_p", "event_label_s", "frequency")
     return counts.unionByName(steps).unionByName(measures)

@@ -6,10 +6,11 @@ which treats them as one batch.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.log import SLICE_MS
 from eventloom.operators.sequence import neighbours
 
 # The pseudo-labels of the relation.
@@ -17,13 +18,13 @@ START, END = "START", "END"
 
 
 def dfg(log: DataFrame, with_endpoints: bool = True, start_for_singletons: bool = True,
-        start: str = START, end: str = END, slice_ms: int = SLICE_MS) -> DataFrame:
+        start: str = START, end: str = END, hot: Sequence[int] | None = None) -> DataFrame:
     """``event_label_p, event_label_s, frequency``.
 
     ``start_for_singletons=False`` gives the variant in which a case of one event has an
     end edge only.
     """
-    steps = neighbours(log, F.col("label"), endpoints=with_endpoints, slice_ms=slice_ms)
+    steps = neighbours(log, F.col("label"), endpoints=with_endpoints, hot=hot)
     if with_endpoints and not start_for_singletons:
         steps = steps.filter(~(F.col("alone") & F.col("prev").isNull()))
     return (steps.groupBy(F.when(F.col("prev").isNull(), F.lit(start)).otherwise(F.col("prev.v")).alias("event_label_p"),

@@ -3,42 +3,46 @@
 A batch is the set of events of one case with the same millisecond. P is followed
 by S when P is in one batch and S in the next one; there are no pairs inside a batch.
 
-Batches are collapsed to (label, count) before anything else, with map-side
-combining, so thousands of simultaneous events cost one row per label. A NULL label
-stays NULL.
+Batches are collapsed to (label, count) before they are paired, so thousands of
+simultaneous events cost one entry per label. A NULL label stays NULL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.log import SLICE_MS
-from eventloom.operators.sequence import neighbours, with_slice
+from eventloom.operators.sequence import hot_cases, neighbours, split_hot
 
 
-def _batch_pairs(log: DataFrame, slice_ms: int) -> DataFrame:
+def _batch_pairs(log: DataFrame, hot: Sequence[int] | None) -> DataFrame:
     """One row per antecedent label x consequent label x neighbouring batches of a case."""
-    counted = log.groupBy("case", "ms", "label").agg(F.count(F.lit(1)).alias("n"))
-    # One array entry per distinct label of the batch, never one per event. Grouping
-    # batches after the shuffle by (case, slice) costs no shuffle of its own.
-    batches = (with_slice(counted, slice_ms).repartition("case", "slice")
-               .groupBy("case", "slice", "ms").agg(F.collect_list(F.struct("label", "n")).alias("batch")))
-    steps = neighbours(batches, F.col("batch"), order=("ms",), partitioned=True)
+    hot = hot_cases(log) if hot is None else hot
+    cold, warm = split_hot(log, hot)
+    count = lambda df: df.groupBy("case", "ms", "label").agg(F.count(F.lit(1)).alias("n"))
+    # Ordinary cases are counted after their one shuffle. A hot case is counted before it,
+    # on the map side: it may have any number of events at one time.
+    counted = count(cold.repartition("case"))
+    if warm is not None:
+        counted = counted.unionByName(count(warm))
+    # One array entry per distinct label of the batch, never one per event.
+    steps = neighbours(counted, F.col("batch"), order=("ms",), hot=hot, batch_of=F.collect_list(F.struct("label", "n")))
     return (steps.select(F.explode("prev.v").alias("p"), F.col("next.v").alias("s"))
                  .select("p", F.explode("s").alias("s")))
 
 
-def weakly_follows(log: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+def weakly_follows(log: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
     """The set of pairs: ``event_label_p, event_label_s``."""
-    return (_batch_pairs(log, slice_ms)
+    return (_batch_pairs(log, hot)
             .select(F.col("p.label").alias("event_label_p"), F.col("s.label").alias("event_label_s"))
             .distinct())
 
 
-def directly_follows(log: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+def directly_follows(log: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
     """The bag of pairs: every antecedent x consequent combination counts one."""
-    return (_batch_pairs(log, slice_ms)
+    return (_batch_pairs(log, hot)
             .groupBy(F.col("p.label").alias("event_label_p"), F.col("s.label").alias("event_label_s"))
             .agg(F.sum(F.col("p.n") * F.col("s.n")).alias("frequency")))
 

@@ -20,12 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Width of a time slice. It bounds both window levels of ``sequence``: one
-#: task sees the events of one case within one slice, or the slices of one case
-#: (about ten million of them for a century of five-minute slices).
-SLICE_MS = 300_000
-
-
 def epoch_ms(df: DataFrame, ts_col: str) -> Column:
     """Milliseconds since the epoch for any time-like (or integral) column.
 

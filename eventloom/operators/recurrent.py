@@ -8,12 +8,12 @@ never updated in place, so replaying a batch cannot count it twice.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.log import SLICE_MS
 from eventloom.operators.sequence import neighbours
 
 
@@ -38,10 +38,10 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 
 
 def bootstrap(log: DataFrame, interval_ms: int, from_ms: int | None = None, to_ms: int | None = None,
-              slice_ms: int = SLICE_MS) -> Recurrent:
+              hot: Sequence[int] | None = None) -> Recurrent:
     """The four tables of a first load over the period."""
     log = between(log, from_ms, to_ms)
-    steps = neighbours(log, F.struct("label", "ms"), slice_ms=slice_ms)
+    steps = neighbours(log, F.struct("label", "ms"), hot=hot)
     pairs = steps.select(F.col("case.id").alias("caseid"),
                          F.col("prev.v.label").alias("event_label_p"), F.col("next.v.label").alias("event_label_s"),
                          (F.col("prev.v.ms") + interval_ms).alias("delete_time_p"),

@@ -17,8 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.operators.log import SLICE_MS
-from eventloom.operators.sequence import positions, running_total, with_slice
+from eventloom.operators.sequence import hot_cases, positions, running_total
 
 
 @dataclass(frozen=True)
@@ -79,19 +78,20 @@ def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id int, kind int, token int, label string, delta int, place int")
 
 
-def check_rules(log: DataFrame, rules: Iterable[Rule], slice_ms: int = SLICE_MS) -> DataFrame:
+def check_rules(log: DataFrame, rules: Iterable[Rule], hot: Sequence[int] | None = None) -> DataFrame:
     """``case_id, idx, rule_id``: the first violation of each rule in each case."""
-    placed = positions(with_slice(log, slice_ms), slice_ms=slice_ms)
+    hot = hot_cases(log) if hot is None else hot
+    placed = positions(log, hot=hot)
     touched = placed.join(rule_table(log.sparkSession, rules), "label")
     balance = running_total(touched, F.col("delta").cast("bigint"), "balance",
-                            keys=("case", "kind", "rule_id"), slice_ms=slice_ms)
+                            keys=("case", "kind", "rule_id"), hot=hot)
     failed = balance.filter(F.col("place").isNotNull() & (F.col("balance") + F.col("token") < 0))
     reported = failed.groupBy("case", "idx").agg(F.min(F.struct("kind", "place", "rule_id")).alias("r"))
     return (reported.groupBy(F.col("case.id").alias("case_id"), F.col("r.rule_id").alias("rule_id"))
             .agg(F.min("idx").alias("idx")).select("case_id", "idx", "rule_id"))
 
 
-def occurrence_matrix(log: DataFrame, labels: Sequence[str], slice_ms: int = SLICE_MS) -> DataFrame:
+def occurrence_matrix(log: DataFrame, labels: Sequence[str]) -> DataFrame:
     """``case_id``, one count per label, ``lastindex`` (0-based place of the last event).
 
     The labels are given, so the columns are fixed without looking at the data; the counts

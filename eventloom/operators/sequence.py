@@ -1,9 +1,14 @@
 """Order-dependent building blocks that survive a case of any size.
 
-A window over a whole case puts that case into one task. Every function here
-works on two levels instead: first inside (case, time slice), then across the
-slices of a case, of which there is only one summary row each. Slices are a fixed
-function of the timestamp, so a recomputed task always sees the same cut.
+Cases of ordinary size are handled by a window over the case: one shuffle. A case that
+holds a large share of the log would put all its rows into one task that way, so cases
+that are seen to be hot take a second route on two levels: first inside (case, time
+slice), then across the slices of a case, of which there is one summary row each.
+
+Which cases are hot is estimated from a sample of the case column. The estimate decides
+the route only: both give the same rows, and every row takes one of them. Slices are a
+fixed function of the timestamp, and the hot cases are constants of the plan, so a
+recomputed task always sees the same cut.
 """
 
 from __future__ import annotations
@@ -13,83 +18,134 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.log import SLICE_MS
-
 EVENT_ORDER = ("ms", "tie")
 
+#: Width of a time slice. It bounds both levels of the hot route: a task sees the events of
+#: one case within one slice, or the slices of one case (ten million for a century).
+SLICE_MS = 300_000
+#: A case is hot from about this many rows on.
+HOT_ROWS = 1_000_000
+#: Share of the case column that is looked at.
+SAMPLE = 0.001
+#: Hottest cases kept in the plan; a case behind that many larger ones is a small share.
+MAX_HOT = 10_000
+
+
+def hot_cases(df: DataFrame, by: Sequence[str] = ("case",), rows: int | None = None, sample: float | None = None) -> list[int]:
+    """Hashes of the groups of about ``rows`` rows or more. Runs a job over the grouping columns only.
+
+    Two groups with the same hash are merely both treated as hot.
+    """
+    rows, sample = rows or HOT_ROWS, sample or SAMPLE
+    seen = df.select(F.xxhash64(*by).alias("h"))
+    if sample < 1:
+        seen = seen.sample(sample, seed=17)
+    counted = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(1, int(rows * sample)))
+    return [r.h for r in counted.orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()]
+
 
-def with_slice(df: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
-    return df.withColumn("slice", F.floor(F.col("ms") / F.lit(slice_ms)))
+def split_hot(df: DataFrame, hot: Sequence[int] | None = None, by: Sequence[str] = ("case",)) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary groups, and those of hot groups if there are any."""
+    hot = hot_cases(df, by) if hot is None else hot
+    if not hot:
+        return df, None
+    flag = F.xxhash64(*by).isin(list(hot))
+    return df.filter(~flag), df.filter(flag)
 
 
-def neighbours(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",),
-               order: Sequence[str] = EVENT_ORDER, endpoints: bool = False,
-               slice_ms: int = SLICE_MS, partitioned: bool = False) -> DataFrame:
-    """Adjacent rows of every group: ``keys, prev, next``.
+def with_slice(df: DataFrame, slice_ms: int | None = None) -> DataFrame:
+    return df.withColumn("slice", F.floor(F.col("ms") / F.lit(slice_ms or SLICE_MS)))
 
-    With ``endpoints`` the first row of a group also appears with a NULL ``prev``
-    and the last one with a NULL ``next``, and ``alone`` tells whether the group has
-    that single row only.
 
-    One shuffle by (keys, slice) feeds both levels; the second shuffle moves one row
-    per slice. ``partitioned`` says that ``df`` has a ``slice`` column and is already
-    partitioned by (keys, slice).
+def neighbours(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
+               endpoints: bool = False, hot: Sequence[int] | None = None, batch_of: Column | None = None) -> DataFrame:
+    """Adjacent rows of every group: ``keys, prev.v, next.v``.
+
+    With ``endpoints`` the first row of a group also appears with a NULL ``prev`` and the last
+    one with a NULL ``next``, and ``alone`` tells whether the group has that single row only.
+    ``batch_of`` is an aggregate: rows of equal order are first folded into one, and
+    ``payload`` may refer to it as ``batch``.
     """
     keys = list(keys)
-    parts = df if partitioned else with_slice(df, slice_ms)
-    parts = parts.select(*keys, "slice", F.struct(*order).alias("at"), F.struct(payload.alias("v")).alias("item"))
-    if not partitioned:
-        parts = parts.repartition(*keys, "slice")
-    inner = (parts.select(*keys, F.col("item").alias("prev"),
-                          F.lead("item").over(Window.partitionBy(*keys, "slice").orderBy("at")).alias("next"))
-             .filter(F.col("next").isNotNull())
-             .withColumn("alone", F.lit(False)))
-    ends = parts.groupBy(*keys, "slice").agg(F.min_by("item", "at").alias("head"),
-                                             F.max_by("item", "at").alias("tail"),
-                                             F.count(F.lit(1)).alias("n"))
+    cold, warm = split_hot(df, hot, keys)
+    rows = _within(cold.repartition(*keys), payload, keys, order, batch_of)
+    res = _plain(rows, keys, endpoints)
+    if warm is None:
+        return res
+    sliced = with_slice(warm).repartition(*keys, "slice")
+    return res.unionByName(_sliced(_within(sliced, payload, [*keys, "slice"], order, batch_of), keys, endpoints))
+
+
+def _within(parts: DataFrame, payload: Column, keys: list[str], order: Sequence[str], batch_of: Column | None) -> DataFrame:
+    # Grouping by more than the partitioning keys needs no shuffle of its own.
+    if batch_of is not None:
+        parts = parts.groupBy(*keys, *order).agg(batch_of.alias("batch"))
+    return parts.select(*keys, *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(payload.alias("v")).alias("item"))
+
+
+def _order_of(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c[0] == "o" and c[1:].isdigit()]
+
+
+def _edges(rows: DataFrame, keys: list[str], head: str, tail: str, after: Column, first: Column, alone: Column) -> DataFrame:
+    edge = F.struct(F.col(tail).alias("prev"), after.alias("next"), alone.alias("alone"))
+    start = F.struct(F.when(F.lit(False), F.col(head)).alias("prev"), F.col(head).alias("next"), alone.alias("alone"))
+    e = rows.select(*keys, F.explode(F.when(first, F.array(start, edge)).otherwise(F.array(edge))).alias("e"))
+    return e.select(*keys, "e.prev", "e.next", "e.alone")
+
+
+def _plain(rows: DataFrame, keys: list[str], endpoints: bool) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*_order_of(rows))
+    rows = rows.select(*keys, F.col("item").alias("prev"), F.lead("item").over(w).alias("next"), F.row_number().over(w).alias("rn"))
+    if not endpoints:
+        return rows.filter(F.col("next").isNotNull()).select(*keys, "prev", "next", F.lit(False).alias("alone"))
+    first = F.col("rn") == 1
+    return _edges(rows, keys, "prev", "prev", F.col("next"), first, first & F.col("next").isNull())
+
+
+def _sliced(rows: DataFrame, keys: list[str], endpoints: bool) -> DataFrame:
+    order = _order_of(rows)
+    inner = (rows.select(*keys, F.col("item").alias("prev"),
+                         F.lead("item").over(Window.partitionBy(*keys, "slice").orderBy(*order)).alias("next"))
+             .filter(F.col("next").isNotNull()).withColumn("alone", F.lit(False)))
+    at = F.struct(*order)
+    ends = rows.groupBy(*keys, "slice").agg(F.min_by("item", at).alias("head"), F.max_by("item", at).alias("tail"),
+                                            F.count(F.lit(1)).alias("n"))
     across = Window.partitionBy(*keys).orderBy("slice")
-    ends = ends.select(*keys, "head", "tail", "n",
-                       F.lead("head").over(across).alias("after"),
-                       F.lag("slice").over(across).isNull().alias("first"))
+    ends = ends.select(*keys, "head", "tail", "n", F.lead("head").over(across).alias("after"), F.row_number().over(across).alias("rn"))
     if endpoints:
-        none = F.lit(None)
-        alone = F.col("first") & F.col("after").isNull() & (F.col("n") == 1)
-        edge = F.struct(F.col("tail").alias("prev"), F.col("after").alias("next"), alone.alias("alone"))
-        start = F.struct(F.when(F.lit(False), F.col("head")).otherwise(none).alias("prev"),
-                         F.col("head").alias("next"), alone.alias("alone"))
-        outer = ends.select(*keys, F.explode(F.when(F.col("first"), F.array(start, edge)).otherwise(F.array(edge))).alias("e"))
-        outer = outer.select(*keys, "e.prev", "e.next", "e.alone")
+        first = F.col("rn") == 1
+        outer = _edges(ends, keys, "head", "tail", F.col("after"), first, first & F.col("after").isNull() & (F.col("n") == 1))
     else:
         outer = (ends.filter(F.col("after").isNotNull())
                  .select(*keys, F.col("tail").alias("prev"), F.col("after").alias("next"), F.lit(False).alias("alone")))
     return inner.unionByName(outer)
 
 
-def running_total(df: DataFrame, value: Column, out: str, keys: Sequence[str] = ("case",),
-                  order: Sequence[str] = EVENT_ORDER, exclusive: bool = False,
-                  slice_ms: int = SLICE_MS) -> DataFrame:
-    """Running sum per group, added to every row as ``out``.
+def running_total(df: DataFrame, value: Column, out: str, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
+                  exclusive: bool = False, hot: Sequence[int] | None = None, by: Sequence[str] = ("case",)) -> DataFrame:
+    """Running sum per group of ``keys``, added to every row as ``out``. ``by`` are the keys that
+    may be hot, and that the rows are partitioned on.
 
-    Sum inside the slice, plus the totals of earlier slices of the group. The two
-    sides of the join are partitioned alike, and the joined key is (keys, slice), so
-    no group gathers in one task.
+    Hot route: the sum inside the slice, plus the totals of earlier slices of the group. The
+    join of the two has the key (keys, slice), so no group gathers in one task.
     """
-    keys = list(keys)
-    had_slice = "slice" in df.columns
-    parts = df if had_slice else with_slice(df, slice_ms)
-    parts = parts.withColumn("__v", value).repartition(*keys, "slice")
-    span = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys, by = list(keys), list(by)
+    until = lambda k: Window.partitionBy(*k).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cold, warm = split_hot(df.withColumn("__v", value), hot, by)
+    less = F.col("__v") if exclusive else F.lit(0)
+    res = cold.repartition(*by).withColumn(out, F.sum("__v").over(until(keys)) - less).drop("__v")
+    if warm is None:
+        return res
+    parts = with_slice(warm).repartition(*by, "slice")
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = (parts.groupBy(*keys, "slice").agg(F.sum("__v").alias("__t"))
-              .withColumn("__before", F.coalesce(
-                  F.sum("__t").over(Window.partitionBy(*keys).orderBy("slice")
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .drop("__t"))
-    res = (parts.withColumn("__in", F.sum("__v").over(span))
-           .join(before, [*keys, "slice"])
-           .withColumn(out, F.col("__in") + F.col("__before") - (F.col("__v") if exclusive else F.lit(0))))
-    return res.drop("__v", "__in", "__before", *([] if had_slice else ["slice"]))
+              .select(*keys, "slice", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before")))
+    summed = (parts.withColumn("__in", F.sum("__v").over(until([*keys, "slice"]))).join(before, [*keys, "slice"])
+              .withColumn(out, F.col("__in") + F.col("__before") - less).drop("__v", "__in", "__before", "slice"))
+    return res.unionByName(summed)
 
 
-def positions(df: DataFrame, out: str = "idx", slice_ms: int = SLICE_MS) -> DataFrame:
+def positions(df: DataFrame, out: str = "idx", hot: Sequence[int] | None = None) -> DataFrame:
     """0-based position of every event in its case."""
-    return running_total(df, F.lit(1).cast("bigint"), out, exclusive=True, slice_ms=slice_ms)
+    return running_total(df, F.lit(1).cast("bigint"), out, exclusive=True, hot=hot)

@@ -11,7 +11,7 @@ from eventloom.session import scratch_path
 
 # The word separators as a regular expression for the check, and the upper-casing of it.
 _CLASS = r"""[ \t\n\r\f+"*%&/()=?''!,.;:\-_#@|^~`{}\[\]<>\\]+"""
-_WORDS = f"SELECT doc_id AS key, unnest(regexp_split_to_array(replace(upper(text), 'ß', 'SS'), '{_CLASS}')) AS token FROM documents"
+_WORDS = f"SELECT doc_id AS key, unnest(regexp_split_to_array(upper(replace(text, 'ß', 'ss')), '{_CLASS}')) AS token FROM documents"
 _INDEX = f"SELECT token, key, CAST(count(*) AS BIGINT) AS tf FROM ({_WORDS}) WHERE token <> '' GROUP BY 1, 2"
 
 

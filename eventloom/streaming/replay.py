@@ -11,7 +11,9 @@ from eventloom.operators.log import epoch_ms
 
 
 def replay_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The stream that meets the slices as they are written."""
+    """The stream that meets the slices as they are written. The folder gets an empty file first:
+    a file source needs it to exist."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/slice=none")
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
