@@ -34,7 +34,7 @@ def date_part(name: str) -> str:
 def wall_ms(ts: Column) -> Column:
     """Milliseconds from 1970-01-01 00:00 to the wall-clock time."""
     micros = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts.cast("timestamp_ntz"))
-    return ((micros - F.pmod(micros, F.lit(1000))) / 1000).cast("bigint")
+    return F.call_function("div", micros - F.pmod(micros, F.lit(1000)), F.lit(1000))
 
 
 def dateadd(part: str, n, ts: Column) -> Column:

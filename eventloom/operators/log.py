@@ -32,7 +32,7 @@ def epoch_ms(df: DataFrame, ts_col: str) -> Column:
         return F.unix_millis(c)
     if isinstance(kind, T.TimestampNTZType):
         micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts_col}`)")
-        return ((micros - F.pmod(micros, F.lit(1000))) / 1000).cast("bigint")
+        return F.call_function("div", micros - F.pmod(micros, F.lit(1000)), F.lit(1000))
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("bigint") * 86_400_000
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -74,4 +74,4 @@ def profile_log(df: DataFrame, case_col: str, activity_col: str) -> DataFrame:
 def rescale_time(df: DataFrame, ts_col: str, origin_ms: int = 0, out: str = "scaled_ms") -> DataFrame:
     """Event time for replay: one day of the log becomes one second."""
     ms = epoch_ms(df, ts_col)
-    return df.withColumn(out, F.expr("cast(0 as bigint)") + ((ms - F.lit(origin_ms)) * 1000 / 86_400_000).cast("bigint"))
+    return df.withColumn(out, F.call_function("div", (ms - F.lit(origin_ms)) * 1000, F.lit(86_400_000)))
