@@ -69,13 +69,14 @@ def aggregate_by(df: DataFrame, keys: Sequence[str], value: str, fold: Fold, out
             pdf = pdf.dropna(subset=[value])
             if len(pdf):
                 g = pdf.groupby(keys, dropna=False, sort=False)[value]
-                yield g.apply(lambda s: add(list(zero), s.to_numpy())).rename("state").reset_index()
+                states = g.apply(lambda s: add(list(zero), s.to_numpy())).rename("state").reset_index()
+                yield states.astype({k: object for k in keys})
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         acc = list(zero)
         for s in pdf["state"]:
             acc = merge(acc, list(s))
-        return pdf[keys].head(1).assign(state=[acc])
+        return pdf[keys].head(1).astype(object).assign(state=[acc])
 
     schema = T.StructType([*key_fields, state])
     parts = df.select(*keys, value).mapInPandas(partial, schema)

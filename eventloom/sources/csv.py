@@ -17,6 +17,9 @@ _OPTIONS = {
 }
 _NAMES = {alias.lower(): key for key, aliases in _OPTIONS.items() for alias in aliases.split()}
 
+# An unquoted empty field becomes the null string; it must not equal a quoted empty one.
+_NO_TEXT = "\ue000"
+
 
 def parse_options(text: str = "") -> dict[str, str]:
     """``'fieldSeparator=; charset=UTF-8'`` as a dictionary with canonical names."""
@@ -54,7 +57,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     space = "false" if o.get("preserve", "").lower() == "true" else "true"
     reader = (spark.read.option("sep", o.get("separator", ",")[:1]).option("quote", o.get("delimiter", '"')[:1])
               .option("escape", (o.get("escape") or '"')[:1]).option("encoding", o.get("charset", "UTF-8"))
-              .option("nullValue", o.get("null", "")).option("emptyValue", "")
+              .option("nullValue", o.get("null") or _NO_TEXT).option("emptyValue", "")
               .option("ignoreLeadingWhiteSpace", space).option("ignoreTrailingWhiteSpace", space)
               .option("mode", "PERMISSIVE").option("multiLine", str(multiline).lower()))
     if o.get("comment"):
