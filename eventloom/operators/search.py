@@ -17,9 +17,12 @@ def _separator_class() -> str:
     return "[" + "".join(named.get(c, c if c == " " else "\\" + c) for c in SEPARATORS) + "]+"
 
 
-def words(text: Column) -> Column:
-    """The upper-case words of a text, in order."""
-    return F.filter(F.split(F.upper(text), _separator_class()), lambda w: w != "")
+def _pieces(columns: Sequence[str]) -> Column:
+    """The texts of a row cut at separators, upper-cased. Pieces may be empty.
+
+    The columns are put together with a separator, which no word can cross.
+    """
+    return F.split(F.upper(F.concat_ws(" ", *columns)), _separator_class())
 
 
 def query_words(text: str, ignore: Iterable[str] = ()) -> list[str]:
@@ -35,14 +38,19 @@ def build_inverted_index(df: DataFrame, key: str, columns: Sequence[str], ignore
     The count per (token, key) combines map-side; a word found in a third of all rows is
     spread over their keys.
     """
+    rows = df.select(F.col(key).alias("key"), F.explode(_pieces(columns)).alias("token")).filter(F.col("token") != "")
     drop = [w.upper() for w in ignore]
-    every = reduce(lambda a, b: F.concat(a, b), [F.coalesce(words(F.col(c)), F.array().cast("array<string>")) for c in columns])
-    rows = df.select(F.col(key).alias("key"), F.explode(every).alias("token"))
     if drop:
         rows = rows.filter(~F.col("token").isin(drop))
     return rows.groupBy("token", "key").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def text_lengths(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``key, len``: the number of words of each row. No shuffle."""
+    pieces = _pieces(columns)
+    return df.select(F.col(key).alias("key"), (F.size(pieces) - F.size(F.filter(pieces, lambda w: w == ""))).alias("len"))
+
+
 def write_index(index: DataFrame, path: str, buckets: int = 256) -> None:
     """Stores the index clustered by word: a search reads few row groups, and the words of
     one file are spread by their hash so that no file holds the frequent ones together."""
@@ -70,18 +78,18 @@ def search_data(index: DataFrame, df: DataFrame, key: str, text: str, ignore: It
     return df.join(hits, df[key] == hits["key"]).drop("key")
 
 
-def bm25(index: DataFrame, text: str, ignore: Iterable[str] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(index: DataFrame, lengths: DataFrame, text: str, ignore: Iterable[str] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``key, score`` of rows containing any asked word, by BM25.
 
-    Document lengths and frequencies come from the index itself. Only postings of asked
-    words meet the length table.
+    ``lengths`` is ``text_lengths`` of the same table. Only postings of asked words are read
+    from the index and meet the lengths. Rows without words do not count.
     """
     asked = query_words(text, ignore)
-    lengths = index.groupBy("key").agg(F.sum("tf").alias("len"))
+    lengths = lengths.filter(F.col("len") > 0)
     total = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).alias("s")).scalar()
     hits = index.filter(F.col("token").isin(asked) if asked else F.lit(False))
-    df_of = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # One row per asked word: as long as the query.
+    df_of = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(F.broadcast(df_of), "token").join(lengths, "key")
     idf = F.log(1 + (total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / total["avg"])

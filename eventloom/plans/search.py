@@ -54,7 +54,8 @@ d AS (SELECT token, count(*) AS df FROM h GROUP BY token)
 SELECT h.key, round(sum(ln(1 + (t.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.len / t.avg))), 6) AS score
 FROM h JOIN d ON h.token = d.token JOIN len ON len.key = h.key CROSS JOIN t GROUP BY h.key""")
 def _(spark, sf):
-    return fts.bm25(_index(spark, sf), "the onen leaux").withColumn("score", F.round("score", 6))
+    lengths = fts.text_lengths(table(spark, sf, "documents"), "doc_id", ["text"])
+    return fts.bm25(_index(spark, sf), lengths, "the onen leaux").withColumn("score", F.round("score", 6))
 
 
 def _z_sql(a, b):

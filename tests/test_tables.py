@@ -181,7 +181,7 @@ def test_search(spark):
     index = search.build_inverted_index(docs, "id", ["t"], ["of"])
     keys = lambda q, **k: sorted(r.key for r in search.search(index, q, **k).collect())
     assert keys("the QUICK") == [1, 4] and keys("dog") == [2] and keys("the cat") == [] and keys("") == [] and keys("of dog", ignore=["of"]) == [2]
-    ranked = {r.key: r.score for r in search.bm25(index, "quick").collect()}
+    ranked = {r.key: r.score for r in search.bm25(index, search.text_lengths(docs, "id", ["t"]), "quick").collect()}
     assert set(ranked) == {1, 4} and ranked[4] > ranked[1]
 
 
