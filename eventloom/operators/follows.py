@@ -14,21 +14,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.sequence import hot_cases, neighbours, split_hot
+from eventloom.operators.sequence import neighbours_hot, neighbours_ordinary, split_hot
 
 
 def _batch_pairs(log: DataFrame, hot: Sequence[int] | None) -> DataFrame:
     """One row per antecedent label x consequent label x neighbouring batches of a case."""
-    hot = hot_cases(log) if hot is None else hot
     cold, warm = split_hot(log, hot)
     count = lambda df: df.groupBy("case", "ms", "label").agg(F.count(F.lit(1)).alias("n"))
+    # One array entry per distinct label of the batch, never one per event.
+    how = {"payload": F.col("batch"), "order": ("ms",), "batch_of": F.collect_list(F.struct("label", "n"))}
     # Ordinary cases are counted after their one shuffle. A hot case is counted before it,
     # on the map side: it may have any number of events at one time.
-    counted = count(cold.repartition("case"))
+    steps = neighbours_ordinary(count(cold.repartition("case")), **how)
     if warm is not None:
-        counted = counted.unionByName(count(warm))
-    # One array entry per distinct label of the batch, never one per event.
-    steps = neighbours(counted, F.col("batch"), order=("ms",), hot=hot, batch_of=F.collect_list(F.struct("label", "n")))
+        steps = steps.unionByName(neighbours_hot(count(warm), **how))
     return (steps.select(F.explode("prev.v").alias("p"), F.col("next.v").alias("s"))
                  .select("p", F.explode("s").alias("s")))
 

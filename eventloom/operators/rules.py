@@ -71,26 +71,35 @@ def rules_from_text(rules: str, token_rules: str, labels: str, rules_of_label: s
 def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """One row per (rule, label it reacts to). A local relation, so its size is known to the optimizer."""
     rows = []
-    for r in rules:
+    for i, r in enumerate(rules):
         deltas = r.deltas()
         for label in sorted(set(deltas) | set(r.attached)):
-            rows.append((r.rule_id, r.kind, r.token or 0, label, deltas.get(label, 0), r.attached.get(label)))
-    return spark.createDataFrame(rows, "rule_id int, kind int, token int, label string, delta int, place int")
+            rows.append((i, r.rule_id, r.kind, r.token or 0, label, deltas.get(label, 0), r.attached.get(label)))
+    return spark.createDataFrame(rows, "rule int, rule_id int, kind int, token int, label string, delta int, place int")
 
 
-def check_rules(log: DataFrame, rules: Iterable[Rule], hot: Sequence[int] | None = None) -> DataFrame:
-    """``case_id, idx, rule_id``: the first violation of each rule in each case."""
+def rule_balances(log: DataFrame, rules: Iterable[Rule], hot: Sequence[int] | None = None) -> DataFrame:
+    """``left - right`` of every rule at every event it is attached to (the token not added)."""
     hot = hot_cases(log) if hot is None else hot
-    placed = positions(log, hot=hot)
-    touched = placed.join(rule_table(log.sparkSession, rules), "label")
-    balance = running_total(touched, F.col("delta").cast("bigint"), "balance",
-                            keys=("case", "kind", "rule_id"), hot=hot)
-    failed = balance.filter(F.col("place").isNotNull() & (F.col("balance") + F.col("token") < 0))
+    touched = positions(log, hot=hot).join(rule_table(log.sparkSession, rules), "label")
+    balance = running_total(touched, F.col("delta").cast("bigint"), "balance", keys=("case", "rule"), hot=hot)
+    return (balance.filter(F.col("place").isNotNull())
+            .select("case", "idx", "rule", "kind", "place", "rule_id", "token", "balance"))
+
+
+def first_violations(balances: DataFrame) -> DataFrame:
+    """Of each event the rule that is reported, of each (case, rule) the first event."""
+    failed = balances.filter(F.col("balance") + F.col("token") < 0)
     reported = failed.groupBy("case", "idx").agg(F.min(F.struct("kind", "place", "rule_id")).alias("r"))
     return (reported.groupBy(F.col("case.id").alias("case_id"), F.col("r.rule_id").alias("rule_id"))
             .agg(F.min("idx").alias("idx")).select("case_id", "idx", "rule_id"))
 
 
+def check_rules(log: DataFrame, rules: Iterable[Rule], hot: Sequence[int] | None = None) -> DataFrame:
+    """``case_id, idx, rule_id``: the first violation of each rule in each case."""
+    return first_violations(rule_balances(log, rules, hot))
+
+
 def occurrence_matrix(log: DataFrame, labels: Sequence[str]) -> DataFrame:
     """``case_id``, one count per label, ``lastindex`` (0-based place of the last event).
 

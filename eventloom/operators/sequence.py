@@ -66,14 +66,22 @@ def neighbours(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",),
     ``batch_of`` is an aggregate: rows of equal order are first folded into one, and
     ``payload`` may refer to it as ``batch``.
     """
-    keys = list(keys)
     cold, warm = split_hot(df, hot, keys)
-    rows = _within(cold.repartition(*keys), payload, keys, order, batch_of)
-    res = _plain(rows, keys, endpoints)
-    if warm is None:
-        return res
-    sliced = with_slice(warm).repartition(*keys, "slice")
-    return res.unionByName(_sliced(_within(sliced, payload, [*keys, "slice"], order, batch_of), keys, endpoints))
+    res = neighbours_ordinary(cold, payload, keys, order, endpoints, batch_of)
+    return res if warm is None else res.unionByName(neighbours_hot(warm, payload, keys, order, endpoints, batch_of))
+
+
+def neighbours_ordinary(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
+                        endpoints: bool = False, batch_of: Column | None = None) -> DataFrame:
+    keys = list(keys)
+    return _plain(_within(df.repartition(*keys), payload, keys, order, batch_of), keys, endpoints)
+
+
+def neighbours_hot(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
+                   endpoints: bool = False, batch_of: Column | None = None) -> DataFrame:
+    keys = list(keys)
+    sliced = with_slice(df).repartition(*keys, "slice")
+    return _sliced(_within(sliced, payload, [*keys, "slice"], order, batch_of), keys, endpoints)
 
 
 def _within(parts: DataFrame, payload: Column, keys: list[str], order: Sequence[str], batch_of: Column | None) -> DataFrame:

@@ -460,7 +460,7 @@ def _(spark, sf):
     return row_numbers(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "rn")
 
 
-@query("rownum_filter", "SELECT CAST(100 AS BIGINT) AS n")
+@query("rownum_filter", "SELECT CAST(least(100, count(*)) AS BIGINT) AS n FROM lineitem WHERE l_quantity > 10")
 def _(spark, sf):
     return table(spark, sf, "lineitem").filter("l_quantity > 10").limit(100).agg(F.count(F.lit(1)).alias("n"))
 

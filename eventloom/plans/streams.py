@@ -11,7 +11,7 @@ from eventloom.operators import recurrent as rec
 from eventloom.plans.mining import (COUNT_PAIRS, DAY_MS, EVENTS, RULES, events_log, graph_sql, rules_sql)
 from eventloom.plans.registry import query, table
 from eventloom.session import scratch_path
-from eventloom.streaming import conformance
+from eventloom.streaming.conformance import ConformanceStream
 from eventloom.streaming.recurrent import FollowsStream, sliding_counts
 from eventloom.streaming.replay import replay, replay_stream
 
@@ -54,11 +54,10 @@ WHERE pt IS NULL OR t >= pt + {INTERVAL}""")(lambda s, d: _follows(s, d, expire=
 
 @query("stream_rule_violations", rules_sql(EVENTS, RULES))
 def _(spark, sf):
-    root = scratch_path(spark, "rules")
     events, path = table(spark, sf, "events"), scratch_path(spark, "replay")
-    found = conformance.monitor(replay_stream(spark, path, events.schema), "user_id", "event_type", "ts", "event_id", RULES)
-    replay(events, "ts", path, lambda: conformance.run_available(found, root))
-    return spark.read.schema(found.schema).parquet(f"{root}/violations")
+    run = ConformanceStream(spark, replay_stream(spark, path, events.schema), "user_id", "event_type", "ts", "event_id", RULES)
+    replay(events, "ts", path, run.run_available)
+    return run.violations()
 
 
 @query("sliding_window_relation", f"""

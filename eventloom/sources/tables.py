@@ -18,12 +18,12 @@ def system_range(spark: SparkSession, low: int, high: int, step: int = 1) -> Dat
 def range_over(df: DataFrame, low: Column, high: Column, step: int = 1, out: str = "X") -> DataFrame:
     """The range between two aggregates of a table, e.g. all days from the first to the last.
 
-    The list of numbers is made in slabs of 100,000, so its length is not bound by one row.
+    The numbers are made in slabs of 100,000, spread over the tasks.
     """
     slab = 100_000 * step
     ends = df.agg(low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi")).filter(
         F.col("lo").isNotNull() & ((F.col("lo") <= F.col("hi")) if step > 0 else (F.col("lo") >= F.col("hi"))))
-    slabs = ends.select("hi", F.explode(F.sequence("lo", "hi", F.lit(slab).cast("bigint"))).alias("at"))
+    slabs = ends.select("hi", F.explode(F.sequence("lo", "hi", F.lit(slab).cast("bigint"))).alias("at")).repartition("at")
     last = F.least(F.col("hi"), F.col("at") + (slab - step)) if step > 0 else F.greatest(F.col("hi"), F.col("at") + (slab - step))
     return slabs.select(F.explode(F.sequence("at", last, F.lit(step).cast("bigint"))).alias(out))
 

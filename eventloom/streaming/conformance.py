@@ -1,73 +1,90 @@
 """Counting rules checked while events arrive.
 
-State per case: how often each label of the rules occurred, the number of events so far,
-and the rules already reported. The events of a case in one micro-batch are checked
-together with array arithmetic; the size of a micro-batch is set at the source.
+Cut in two stages like the relation (``streaming.recurrent``). Stage one takes each
+micro-batch alone, with the batch operators: the balance of every rule at every event it is
+attached to, counted from the start of the micro-batch, and the totals of every case.
+Stage two keeps the totals of a case as state and hands each micro-batch the balances it
+starts from; it sees one row per case and micro-batch, however many events a case has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventloom.operators.log import epoch_ms
-from eventloom.operators.rules import Rule
+from eventloom.operators.log import as_log
+from eventloom.operators.rules import Rule, first_violations, rule_balances
+from eventloom.operators.sequence import hot_cases
+from eventloom.session import scratch_path
 
 
-def _checker(rules: list[Rule]):
-    ordered = sorted(rules, key=lambda r: r.kind)
-    labels = sorted({x for r in ordered for x in (*r.left, *r.right, *r.attached)})
-    at = {x: i for i, x in enumerate(labels)}
-    effect = np.zeros((len(labels), len(ordered)), dtype=np.int64)
-    for j, r in enumerate(ordered):
-        for x, d in r.deltas().items():
-            effect[at[x], j] = d
-    token = np.array([r.token or 0 for r in ordered], dtype=np.int64)
-    # Per label the rules it is attached to, in the order they are tried.
-    tried = {at[x]: sorted((j for j, r in enumerate(ordered) if x in r.attached),
-                           key=lambda j: (ordered[j].kind, ordered[j].attached[x])) for x in labels}
-    ids = [r.rule_id for r in ordered]
+def _carry_totals(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    totals, events, last = state.get if state.exists else (None, 0, -1)
+    rows = sorted((r for pdf in frames for r in pdf.itertuples(index=False)), key=lambda r: r.batch)
+    out = []
+    for r in rows:
+        if r.batch <= last:
+            continue  # a replayed micro-batch
+        added = [int(t) for t in r.totals]
+        totals = [0] * len(added) if totals is None else list(totals)
+        out.append((key[0], totals, int(events), int(r.batch)))
+        totals, events, last = [a + b for a, b in zip(totals, added)], events + int(r.events), int(r.batch)
+    if totals is not None:
+        state.update((totals, int(events), int(last)))
+    yield pd.DataFrame(out, columns=["case_id", "totals", "events", "batch"])
 
-    def check(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts, seen, reported = (np.zeros(len(labels), dtype=np.int64), 0, [])
-        if state.exists:
-            c, seen, reported = state.get
-            counts, reported = np.array(c, dtype=np.int64), list(reported)
-        pdf = pd.concat(list(frames)).sort_values(["ms", "tie"], kind="stable")
-        which = pdf["label"].map(at)
-        known = np.flatnonzero(which.notna().to_numpy())
-        code = which.iloc[known].to_numpy(dtype=np.int64)
-        balance = (effect.T @ counts)[None, :] + effect[code].cumsum(axis=0) + token[None, :]
-        failed = balance < 0
-        out = []
-        for i in np.flatnonzero(failed.any(axis=1)):
-            rule = next((j for j in tried[code[i]] if failed[i, j]), None)
-            if rule is not None and ids[rule] not in reported:
-                reported.append(ids[rule])
-                out.append((key[0], seen + int(known[i]), ids[rule]))
-        counts = counts + np.bincount(code, minlength=len(labels))
-        state.update((counts.tolist(), seen + len(pdf), reported))
-        yield pd.DataFrame(out, columns=["case_id", "idx", "rule_id"])
 
-    return check
+class ConformanceStream:
+    """Runs both stages over a streaming DataFrame and reads the violations found so far."""
 
+    def __init__(self, spark: SparkSession, source: DataFrame, case_col: str, activity_col: str, ts_col: str, tiebreak,
+                 rules: Iterable[Rule], root: str | None = None):
+        self.spark, self.source, self.rules = spark, source, list(rules)
+        self.log_args = (case_col, activity_col, ts_col, tiebreak)
+        self.root = root or scratch_path(spark, "rules")
+        case = T.StructField("case_id", source.schema[case_col].dataType)
+        self.totals_schema = T.StructType([case, T.StructField("totals", T.ArrayType(T.LongType())),
+                                           T.StructField("events", T.LongType()), T.StructField("batch", T.LongType())])
 
-def monitor(stream: DataFrame, case_col: str, activity_col: str, ts_col: str, tiebreak: str, rules: Iterable[Rule]) -> DataFrame:
-    """Stream of ``case_id, idx, rule_id``: each rule's first violation in each case."""
-    log = stream.filter(F.col(ts_col).isNotNull()).select(
-        F.col(case_col).alias("case_id"), F.col(activity_col).alias("label"), epoch_ms(stream, ts_col).alias("ms"), F.col(tiebreak).alias("tie"))
-    out = T.StructType([T.StructField("case_id", stream.schema[case_col].dataType),
-                        T.StructField("idx", T.LongType()), T.StructField("rule_id", T.IntegerType())])
-    return log.groupBy("case_id").applyInPandasWithState(
-        _checker(list(rules)), out, "counts array<bigint>, seen bigint, reported array<int>", "append", GroupStateTimeout.NoTimeout)
+    def _summarise(self, batch: DataFrame, batch_id: int) -> None:
+        log = as_log(batch, *self.log_args)
+        (rule_balances(log, self.rules, hot_cases(log)).withColumn("case_id", F.col("case.id")).drop("case")
+         .write.mode("overwrite").parquet(f"{self.root}/checks/batch={batch_id}"))
+        effect = lambda r: F.coalesce(*[F.when(F.col("label") == x, F.lit(d)) for x, d in r.deltas().items()], F.lit(0))
+        (log.groupBy(F.col("case.id").alias("case_id"))
+         .agg(F.array(*[F.sum(effect(r)).cast("bigint") for r in self.rules]).alias("totals"), F.count(F.lit(1)).alias("events"))
+         .write.mode("overwrite").parquet(f"{self.root}/totals/batch={batch_id}"))
 
+    def _stages(self):
+        yield (self.source.writeStream.foreachBatch(self._summarise)
+               .option("checkpointLocation", f"{self.root}/state/checks"))
+        totals = self.spark.readStream.schema(self.totals_schema).parquet(f"{self.root}/totals")
+        bases = totals.groupBy("case_id").applyInPandasWithState(
+            _carry_totals, self.totals_schema, "totals array<bigint>, events bigint, batch bigint", "append", GroupStateTimeout.NoTimeout)
+        yield (bases.writeStream.format("parquet").option("path", f"{self.root}/bases")
+               .option("checkpointLocation", f"{self.root}/state/bases"))
 
-def run_available(violations: DataFrame, root: str) -> None:
-    (violations.writeStream.format("parquet").option("path", f"{root}/violations")
-     .option("checkpointLocation", f"{root}/state/violations").trigger(availableNow=True).start().awaitTermination())
+    def run_available(self) -> "ConformanceStream":
+        """Works off everything that has arrived, then stops."""
+        for stage in self._stages():
+            stage.trigger(availableNow=True).start().awaitTermination()
+        return self
+
+    def start(self, interval: str = "5 seconds"):
+        """Keeps both stages running; returns the two queries."""
+        return [stage.trigger(processingTime=interval).start() for stage in self._stages()]
+
+    def violations(self) -> DataFrame:
+        """``case_id, idx, rule_id``: each rule's first violation in each case."""
+        key = [F.struct(F.col("case_id").alias("id")).alias("case"), "batch"]
+        bases = self.spark.read.schema(self.totals_schema).parquet(f"{self.root}/bases").select(
+            *key, F.col("totals").alias("base"), F.col("events").alias("before"))
+        checks = self.spark.read.parquet(f"{self.root}/checks").withColumn("batch", F.col("batch").cast("bigint"))
+        checks = checks.select(*key, "idx", "rule", "kind", "place", "rule_id", "token", "balance")
+        at = checks.join(bases, ["case", "batch"]).withColumn("idx", F.col("idx") + F.col("before"))
+        return first_violations(at.withColumn("balance", F.col("balance") + F.element_at("base", F.col("rule") + 1)))

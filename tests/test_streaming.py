@@ -3,9 +3,9 @@
 from eventloom.operators import recurrent as rec
 from eventloom.operators.dfg import dfg
 from eventloom.operators.log import as_log
-from eventloom.operators.rules import Rule
+from eventloom.operators.rules import Rule, check_rules
 from eventloom.session import scratch_path
-from eventloom.streaming import conformance
+from eventloom.streaming.conformance import ConformanceStream
 from eventloom.streaming.recurrent import FollowsStream, sliding_counts
 from eventloom.streaming.replay import replay, replay_stream
 
@@ -55,10 +55,12 @@ def test_late_event_counts_as_newest(spark):
 
 
 def test_rules_across_micro_batches(spark):
-    df, path, root = spark.createDataFrame([(1, "A", 1, 0), (1, "B", 2, 1), (1, "X", 3, 2), (1, "B", 4, 3), (1, "B", 9, 4)], SCHEMA), scratch_path(spark, "r"), scratch_path(spark, "o")
-    found = conformance.monitor(replay_stream(spark, path, df.schema), "c", "l", "t", "k", [Rule(7, ["A"], ["B"], {"B": 0})])
-    replay(df, "t", path, lambda: conformance.run_available(found, root), 3)
-    assert bag(spark.read.parquet(f"{root}/violations")) == [(1, 3, 7)]
+    df, path = spark.createDataFrame([(1, "A", 1, 0), (1, "B", 2, 1), (1, "X", 3, 2), (1, "B", 4, 3), (1, "B", 9, 4), (None, "B", 9, 5)], SCHEMA), scratch_path(spark, "r")
+    rules = [Rule(7, ["A"], ["B"], {"B": 0}), Rule(8, ["A"], ["B"], {"B": 0}, 1)]
+    run = ConformanceStream(spark, replay_stream(spark, path, df.schema), "c", "l", "t", "k", rules)
+    replay(df, "t", path, run.run_available, 3)
+    assert bag(run.violations()) == [(1, 3, 7), (None, 0, 7)]
+    assert bag(run.violations()) == bag(check_rules(as_log(df, "c", "l", "t", "k"), rules))
 
 
 def test_sliding_window_on_a_stream(spark):
