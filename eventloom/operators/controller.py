@@ -12,7 +12,9 @@ REPETITION         x events whose next event among {x, y} is x, with a y later o
 REPETITION BACK    x events whose previous event among {x, y} is x, with a y earlier
 =================  ==========================================================
 
-Events are only paired with labels present in their case; for the others the
+Two plans give the same rows. With few labels, every event gets one column per label (where that label was seen last,
+first and finally in the case) from a single pass over the sorted case. With many labels, events are joined
+to the labels of their case instead. Either way events are only paired with labels present in their case; for the others the
 count follows from the total: ``no y at all = occurrences - events sharing a case
 with y``. Zero counts give no row. Events without a label are left out. The order of
 events (ms, tie) has to be unique within a case.
@@ -38,6 +40,9 @@ REPETITION = "REPETITION"
 REPETITION_BACK = "REPETITION BACK"
 
 
+#: Up to this many labels get a column each.
+MAX_LABEL_COLUMNS = 64
+
 _KEYS = ["case", "lo", "hi"]
 
 
@@ -97,12 +102,77 @@ def _hot_cases(log: DataFrame) -> DataFrame:
     return inner.unionByName(outer)
 
 
+def _alphabet(log: DataFrame) -> list[str] | None:
+    """The labels, unless there are too many for one column each."""
+    rows = log.select("label").distinct().limit(MAX_LABEL_COLUMNS + 1).collect()
+    return sorted(r.label for r in rows) if len(rows) <= MAX_LABEL_COLUMNS else None
+
+
+def _at_label(labels: list[str]) -> list[Column]:
+    return [F.when(F.col("label") == y, F.col("at")) for y in labels]
+
+
+def _from_columns(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """Counts from p (last place before the event), f and l (first and last place in the case) of every label.
+
+    Adjacent x of the {x, y} projection are the events whose own label was seen after y: those with a y
+    before them are REPETITION BACK. For REPETITION, add the ones before the first y and take off
+    the ones after the last.
+    """
+    own = F.coalesce(*[F.when(F.col("label") == y, F.col(f"p{j}")) for j, y in enumerate(labels)])
+    per_label = F.array(*[F.struct(F.lit(y).alias("y"), F.col(f"p{j}").alias("p"), F.col(f"f{j}").alias("f"), F.col(f"l{j}").alias("l"))
+                          for j, y in enumerate(labels)])
+    wide = (rows.select(F.col("label").alias("x"), "at", own.alias("own"), F.explode(per_label).alias("e")).select("x", "at", "own", "e.*")
+            .filter(F.col("l").isNotNull() & (F.col("x") != F.col("y"))))
+    back = _one(F.col("own") > F.col("p"))
+    before_y = _one((F.col("f") > F.col("at")) & F.col("own").isNotNull())
+    after_y = _one(F.col("own") > F.col("l"))
+    return wide.select("x", "y", F.lit(1).cast("bigint").alias("co"), _one(F.col("l") < F.col("at")).alias("nf"),
+                       _one(F.col("f") > F.col("at")).alias("np"), (back + before_y - after_y).alias("rp"), back.alias("rb"))
+
+
+def _columns_ordinary(log: DataFrame, labels: list[str]) -> DataFrame:
+    w = Window.partitionBy("case").orderBy("ms", "tie")
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    events = log.repartition("case").withColumn("at", F.row_number().over(w).cast("bigint"))
+    here = _at_label(labels)
+    return events.select("label", "at", *[F.max(c).over(so_far).alias(f"p{j}") for j, c in enumerate(here)],
+                         *[F.min(c).over(whole).alias(f"f{j}") for j, c in enumerate(here)],
+                         *[F.max(c).over(whole).alias(f"l{j}") for j, c in enumerate(here)])
+
+
+def _columns_hot(log: DataFrame, labels: list[str]) -> DataFrame:
+    """As above inside time slices; what earlier slices and the whole case add comes from one row per slice."""
+    w = Window.partitionBy("case", "slice").orderBy("ms", "tie")
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    events = with_slice(log).repartition("case", "slice").withColumn("at", F.shiftleft("slice", 32) + F.row_number().over(w))
+    here, n = _at_label(labels), range(len(labels))
+    ends = events.groupBy("case", "slice").agg(*[F.min(c).alias(f"lo{j}") for j, c in enumerate(here)],
+                                               *[F.max(c).alias(f"hi{j}") for j, c in enumerate(here)])
+    order = Window.partitionBy("case").orderBy("slice")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("case", "slice", *[F.max(f"hi{j}").over(earlier).alias(f"c{j}") for j in n],
+                       *[F.min(f"lo{j}").over(whole).alias(f"f{j}") for j in n], *[F.max(f"hi{j}").over(whole).alias(f"l{j}") for j in n])
+    inside = events.select("case", "slice", "label", "at", *[F.max(c).over(so_far).alias(f"q{j}") for j, c in enumerate(here)])
+    return inside.join(ends, ["case", "slice"]).select(
+        "label", "at", *[F.greatest(f"q{j}", f"c{j}").alias(f"p{j}") for j in n], *[f"f{j}" for j in n], *[f"l{j}" for j in n])
+
+
 def _pair_counts(log: DataFrame, hot: Sequence[int]) -> DataFrame:
     """Per (x, y): shared events, and the four counts that depend on places."""
     cold, warm = split_hot(log, hot)
-    rows = _ordinary_cases(cold)
-    if warm is not None:
-        rows = rows.unionByName(_hot_cases(warm))
+    labels = _alphabet(log)
+    if labels:
+        rows = _columns_ordinary(cold, labels)
+        if warm is not None:
+            rows = rows.unionByName(_columns_hot(warm, labels))
+        rows = _from_columns(rows, labels)
+    else:
+        rows = _ordinary_cases(cold)
+        if warm is not None:
+            rows = rows.unionByName(_hot_cases(warm))
     return rows.groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in ("co", "nf", "np", "rp", "rb")])
 
 

@@ -3,10 +3,6 @@ operators. Without expiry a replay has to give what the batch operator gives."""
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import SparkSession
-
 from eventloom.operators import recurrent as rec
 from eventloom.plans.mining import (COUNT_PAIRS, DAY_MS, EVENTS, RULES, events_log, graph_sql, rules_sql)
 from eventloom.plans.registry import query, table
@@ -19,19 +15,19 @@ INTERVAL = 2 * DAY_MS
 NOW_MS = 1_704_067_200_000 + 25 * DAY_MS
 
 
-@functools.cache
-def _replayed(app_id: str, sf: str, expire: bool) -> FollowsStream:
-    """One replay per session and table folder; several queries read the tables it leaves."""
-    spark = SparkSession.getActiveSession()
-    events, path = table(spark, sf, "events"), scratch_path(spark, "replay")
-    source = replay_stream(spark, path, events.schema)
-    run = FollowsStream(spark, source, "user_id", "event_type", "ts", "event_id", INTERVAL, expire=expire)
-    replay(events, "ts", path, run.run_available)
-    return run
+_RUNS: dict[tuple, FollowsStream] = {}
 
 
 def _follows(spark, sf, expire=False):
-    return _replayed(spark.sparkContext.applicationId, sf, expire)
+    """One replay per session and table folder; several queries read the tables it leaves."""
+    key = (spark.sparkContext.applicationId, sf, expire)
+    if key not in _RUNS:
+        events, path = table(spark, sf, "events"), scratch_path(spark, "replay")
+        source = replay_stream(spark, path, events.schema)
+        run = FollowsStream(spark, source, "user_id", "event_type", "ts", "event_id", INTERVAL, expire=expire)
+        replay(events, "ts", path, run.run_available)
+        _RUNS[key] = run
+    return _RUNS[key]
 
 
 LAG = f"SELECT *, lag(t) OVER (PARTITION BY c ORDER BY t, k) pt, lag(l) OVER (PARTITION BY c ORDER BY t, k) pl FROM ({EVENTS})"

@@ -131,8 +131,11 @@ def test_relations_by_definition(spark, route, seed):
     assert sum(n for (p, _), n in graph.items() if p == "START") == cases == sum(n for (_, s), n in graph.items() if s == "END")
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_controller_by_definition(spark, route, seed):
+@pytest.mark.parametrize("columns", [64, 2], ids=["label-columns", "label-join"])
+@pytest.mark.parametrize("seed", range(2))
+def test_controller_by_definition(spark, route, seed, columns, monkeypatch):
+    from eventloom.operators import controller as module
+    monkeypatch.setattr(module, "MAX_LABEL_COLUMNS", columns)
     rows = random_log(seed + 50)
     labels = sorted({r[1] for r in rows})
     want = Counter()
