@@ -69,6 +69,12 @@ def plus_days(ts: Column, days: Column | float) -> Column:
     return F.timestamp_add("SECOND", seconds.cast("bigint").cast("int"), ts)
 
 
+def plus_time(ts: Column, time_ms: Column | int) -> Column:
+    """``ts + t`` (or ``- t`` when negative) for a time of day in milliseconds. Arithmetic on
+    times themselves (``+ - * /``) is plain arithmetic on such numbers."""
+    return F.timestamp_add("MILLISECOND", (time_ms if isinstance(time_ms, Column) else F.lit(time_ms)).cast("int"), ts)
+
+
 def minus_timestamps(a: Column, b: Column) -> Column:
     """``a - b`` in days."""
     return datediff("DAY", b, a)

@@ -109,6 +109,11 @@ def position(search, s: Column) -> Column:
     return locate(search, s)
 
 
+def truncate_value(s: Column, precision: int) -> Column:
+    """A text cut to a column's precision."""
+    return F.left(s, F.lit(precision))
+
+
 def _first(c) -> Column:
     return F.left(_c(c), F.lit(1))
 

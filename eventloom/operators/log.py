@@ -6,6 +6,7 @@ Shape: ``case struct<id>``, ``label``, ``ms bigint``, ``tie struct<...>``.
   other, and a struct holding NULL equals itself, so joins and groupings on
   ``case`` keep that case without null-safe operators (which would change the
   hash partitioning and cost an extra shuffle).
+* ``label`` is text.
 * ``ms`` is the timestamp cut to milliseconds; two events less than one
   millisecond apart are simultaneous.
 * ``tie`` orders simultaneous events. Input order does not exist in Spark, so
@@ -47,7 +48,7 @@ def as_log(df: DataFrame, case_col: str, activity_col: str, ts_col: str,
     ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or [activity_col])
     return (df.filter(F.col(f"`{ts_col}`").isNotNull())
               .select(F.struct(F.col(f"`{case_col}`").alias("id")).alias("case"),
-                      F.col(f"`{activity_col}`").alias("label"),
+                      F.col(f"`{activity_col}`").cast("string").alias("label"),
                       epoch_ms(df, ts_col).alias("ms"),
                       F.struct(*[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(ties)]).alias("tie")))
 

@@ -67,7 +67,7 @@ def live_events(events: DataFrame, now_ms: int) -> DataFrame:
 def refresh_starts(start_event: DataFrame, pairs: DataFrame, now_ms: int) -> DataFrame:
     """The oldest live event of each case becomes its start event.
 
-    Divergence: the reference behaviour takes the newest one. Cases without a live pair
+    Divergence: the trigger-based original takes the newest one. Cases without a live pair
     keep their start event as long as it lives.
     """
     oldest = (pairs.filter(F.col("delete_time_s") > now_ms)

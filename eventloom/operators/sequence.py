@@ -71,6 +71,13 @@ def neighbours(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",),
     return res if warm is None else res.unionByName(neighbours_hot(warm, payload, keys, order, endpoints, batch_of))
 
 
+def followers(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """Ordinary groups only, one row for each: ``prev.v``, ``next.v`` (``next`` is NULL at the end), ``first``."""
+    rows = _within(df.repartition(*keys), payload, list(keys), order, None)
+    w = Window.partitionBy(*keys).orderBy(*_order_of(rows))
+    return rows.select(*keys, F.col("item").alias("prev"), F.lead("item").over(w).alias("next"), (F.row_number().over(w) == 1).alias("first"))
+
+
 def neighbours_ordinary(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
                         endpoints: bool = False, batch_of: Column | None = None) -> DataFrame:
     keys = list(keys)

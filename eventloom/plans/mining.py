@@ -12,7 +12,6 @@ from eventloom.operators.follows import directly_follows, follows_by_sequence, w
 from eventloom.operators.log import as_log, log_quality, profile_log, rescale_time
 from eventloom.operators.rules import Rule, check_rules, occurrence_matrix, rules_from_text
 from eventloom.plans.registry import query, table
-from eventloom.session import cut_lineage
 
 DAY_MS = 86_400_000
 

@@ -78,7 +78,7 @@ def _(spark, sf):
 @query("csv_write_count", "SELECT CAST(count(*) AS BIGINT) AS n FROM documents")
 def _(spark, sf):
     n = csv_files.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "text"), scratch_path(spark, "csv"))
-    return table(spark, sf, "region").limit(1).select(F.lit(n).cast("bigint").alias("n"))
+    return spark.createDataFrame([(n,)], "n bigint")
 
 
 @query("csv_quoted_text", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
@@ -159,7 +159,7 @@ CAST(count(CASE WHEN s NOT IN (SELECT nullif(l_linenumber, 3) FROM lineitem) THE
 sql_query("not_in_subquery", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 
 
-def _quantified(name, op, quantifier, spark_op=None):
+def _quantified(name, op, quantifier):
     @query(name, f"SELECT c_custkey, c_acctbal {op} {quantifier} (SELECT s_acctbal FROM supplier WHERE s_nationkey = 3) AS hit, "
                  f"c_acctbal {op} {quantifier} (SELECT s_acctbal FROM supplier WHERE s_nationkey < 0) AS none, "
                  f"c_acctbal {op} {quantifier} (SELECT nullif(s_nationkey, 5) FROM supplier) AS with_null FROM customer")

@@ -190,9 +190,9 @@ epoch_us(TIMESTAMP '2023-12-31 23:00:00') // 1000 AS base FROM events)""",
       event_id=None, w=lambda: dt.datediff("WEEK", F.to_timestamp_ntz(F.lit("2023-12-31 23:59:59.5")), c("ts")),
       d=lambda: dt.datediff("DOY", F.to_timestamp_ntz(F.lit("2023-12-31 23:59:59.5")), c("ts")))
 _over("date_arithmetic", "events", """SELECT event_id, strftime(ts + INTERVAL 5 DAY, '%Y-%m-%d %H') AS a, strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d %H') AS b,
-strftime(ts + INTERVAL 36 HOUR, '%Y-%m-%d %H') AS f, datediff('day', TIMESTAMP '2024-01-01 12:00:00', ts) AS d FROM events""",
+strftime(ts + INTERVAL 36 HOUR, '%Y-%m-%d %H') AS f, strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M') AS t, datediff('day', TIMESTAMP '2024-01-01 12:00:00', ts) AS d FROM events""",
       event_id=None, a=lambda: F.date_format(dt.plus_days(c("ts"), 5), "yyyy-MM-dd HH"), b=lambda: F.date_format(dt.plus_days(c("ts"), -1), "yyyy-MM-dd HH"),
-      f=lambda: F.date_format(dt.plus_days(c("ts"), 1.5), "yyyy-MM-dd HH"), d=lambda: dt.minus_timestamps(c("ts"), F.to_timestamp_ntz(F.lit("2024-01-01 12:00:00"))))
+      f=lambda: F.date_format(dt.plus_days(c("ts"), 1.5), "yyyy-MM-dd HH"), t=lambda: F.date_format(dt.plus_time(c("ts"), 5_400_000), "yyyy-MM-dd HH:mm"), d=lambda: dt.minus_timestamps(c("ts"), F.to_timestamp_ntz(F.lit("2024-01-01 12:00:00"))))
 sql_query("date_fields", "events", """SELECT event_id, year(ts) AS y, quarter(ts) AS q, month(ts) AS m, day(ts) AS d, dayofyear(ts) AS doy, dayofweek(ts) AS dow,
 hour(ts) AS h, minute(ts) AS mi, second(ts) AS s FROM events""", """SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(quarter(ts) AS INTEGER) AS q, CAST(month(ts) AS INTEGER) AS m,
 CAST(day(ts) AS INTEGER) AS d, CAST(dayofyear(ts) AS INTEGER) AS doy, CAST(dayofweek(ts) + 1 AS INTEGER) AS dow,

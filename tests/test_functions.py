@@ -104,6 +104,7 @@ def test_dates(val):
     assert val(dt.add_months(ts("2020-01-31 10:00:00"), 1)) == datetime(2020, 2, 29, 10)
     assert val(dt.dateadd("DY", 1, ts("2020-02-28 00:00:00"))) == datetime(2020, 2, 29)
     assert val(dt.plus_days(ts("2020-01-01 00:00:00"), 0.5)) == datetime(2020, 1, 1, 12)
+    assert val(dt.plus_time(ts("2020-01-01 23:00:00"), 5_400_000)) == datetime(2020, 1, 2, 0, 30) and val(st.truncate_value(lit("abc"), 2)) == "ab"
     assert val(dt.week_us(lit(date(2021, 1, 2)))) == 1 and val(dt.week_us(lit(date(2021, 1, 3)))) == 2 and val(dt.week_us(lit(date(2021, 12, 26)))) == 1
     assert val(dt.iso_year(lit(date(2021, 1, 1)))) == 2020 and val(dt.iso_day_of_week(lit(date(2021, 1, 1)))) == 5
     assert val(dt.to_timestamp(lit("09-MAR-2024 03:04 PM"), "DD-MON-YYYY HH:MI AM")) == datetime(2024, 3, 9, 15, 4)

@@ -6,7 +6,6 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from eventloom.operators import recurrent as rec
 from eventloom.operators.controller import controller
