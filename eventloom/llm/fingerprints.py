@@ -68,12 +68,13 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
 
     Null texts count as empty. The texts are shuffled once by document; the second join reads the same exchange.
     """
-    texts = docs.select(F.xxhash64("doc_id", text_key()).alias("k"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    nexts = next_documents(docs).select(F.xxhash64("doc_id", "key").alias("for_k"), F.xxhash64("next_id", "next_key").alias("k"),
+    # both joins read the same columns, so the second reuses the exchange of the first
+    texts = docs.select(F.xxhash64("doc_id", text_key()).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    nexts = next_documents(docs).select("doc_id", F.xxhash64("doc_id", "key").alias("for_k"), F.xxhash64("next_id", "next_key").alias("k"),
                                         F.floor(F.col("n") / 3).cast("int").alias("take"))
     heads = (texts.join(nexts, "k").withColumn("head", F.substring(F.col("text"), F.lit(1), F.col("take")))
              .withColumn("next_print", sketch(F.col("text"), fraction))
-             .groupBy(F.col("for_k").alias("k")).agg(F.first("head").alias("head"), F.first("next_print").alias("next_print")))
+             .groupBy(F.col("for_k").alias("k")).agg(F.first("doc_id").alias("doc_id"), F.first("head").alias("head"), F.first("next_print").alias("next_print")))
     both = texts.join(heads, "k")
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
