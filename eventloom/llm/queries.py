@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import fingerprints, html, langid, licenses, minhash, mixing, packing, pii, toxicity  # noqa: F401
+from eventloom.llm import embeddings, fingerprints, html, langid, licenses, minhash, mixing, packing, pii, toxicity  # noqa: F401
 from eventloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
