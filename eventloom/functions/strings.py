@@ -20,8 +20,8 @@ def ascii_code(s: Column) -> Column:
 
 
 def char(n: Column) -> Column:
-    """The character with UTF-16 code ``n``."""
-    return F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 4, "0")), "UTF-16BE")
+    """The character with UTF-16 code ``n``; of larger numbers the lowest 16 bits count."""
+    return F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint").bitwiseAND(F.lit(0xFFFF))), 4, "0")), "UTF-16BE")
 
 
 def char_length(s: Column) -> Column:
@@ -65,8 +65,9 @@ def difference(a: Column, b: Column) -> Column:
 
 
 def hex_to_raw(h: Column) -> Column:
-    """Four hexadecimal digits per character."""
-    return F.decode(F.unhex(h), "UTF-16BE")
+    """Four hexadecimal digits per character; any other length is an error."""
+    wrong = F.raise_error(F.concat(F.lit("not four hexadecimal digits per character: "), h)).cast("string")
+    return F.when(F.length(h) % 4 == 0, F.decode(F.unhex(h), "UTF-16BE")).when(h.isNotNull(), wrong)
 
 
 def raw_to_hex(s: Column) -> Column:
@@ -115,7 +116,8 @@ def truncate_value(s: Column, precision: int) -> Column:
 
 
 def _first(c) -> Column:
-    return F.left(_c(c), F.lit(1))
+    """The first character; an empty text means a blank."""
+    return F.when(_c(c) == "", F.lit(" ")).otherwise(F.left(_c(c), F.lit(1)))
 
 
 def trim(s: Column, char=" ") -> Column:

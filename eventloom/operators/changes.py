@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.ids import assign_ids
+
 
 def _has_keys(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
@@ -94,9 +96,10 @@ def _chosen(df: DataFrame, where: Column, limit: int | None, order: Sequence[str
     if limit is None:
         return df, hit
     if not order:
-        raise ValueError("a limit needs an order that is unique and not NULL")
-    first = df.filter(hit).orderBy(*order).limit(limit).select(*order, F.lit(True).alias("__hit"))
-    return df.join(first, list(order), "left"), F.coalesce(F.col("__hit"), F.lit(False))
+        raise ValueError("a limit needs an order")
+    # matching rows are numbered first, so the number alone decides and equal or NULL order values are no matter
+    numbered = assign_ids(df.withColumn("__hit", hit), [F.col("__hit").desc(), *order], "__number")
+    return numbered, F.col("__hit") & (F.col("__number") <= limit)
 
 
 def update(df: DataFrame, set_values: Mapping[str, Column], where: Column, limit: int | None = None,

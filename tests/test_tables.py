@@ -202,3 +202,26 @@ def test_box_ranges_cover_exactly_the_needed_cells():
         for x, y in itertools.product(range(9), range(9)):
             z = zorder._interleave_int((x, y))
             assert any(a <= z <= b for a, b in ranges) == (lo[0] <= x <= hi[0] and lo[1] <= y <= hi[1])
+
+
+def test_limits_with_repeated_and_null_order_values(spark):
+    from pyspark.sql import functions as F
+
+    from eventloom.operators.changes import delete, update
+    df = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (4, None)], "a int, o int")
+    changed = update(df, {"a": F.lit(0)}, F.lit(True), 2, ["o"]).collect()
+    assert len(changed) == 4 and sum(r.a == 0 for r in changed) == 2
+    assert delete(df, F.lit(True), 2, ["o"]).count() == 2
+
+
+def test_empty_pad_wide_codes_and_bad_hex(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from eventloom.functions import strings
+    one = spark.range(1)
+    got = one.select(strings.lpad(F.lit("ab"), 5, "").alias("p"), strings.trim(F.lit(" ab "), "").alias("t"),
+                     strings.char(F.lit(65601)).alias("c")).first()
+    assert (got.p, got.t, got.c) == ("   ab", "ab", "A")
+    with pytest.raises(Exception, match="four hexadecimal"):
+        one.select(strings.hex_to_raw(F.concat(F.lit("004"), F.col("id").substr(1, 0)))).collect()
