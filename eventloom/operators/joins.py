@@ -10,19 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MAX_LEVEL = 62
+#: The level of intervals whose length is no finite number; it has one cell.
+_OPEN = 4096
 
 
 def _level(extent: Column, unit: float) -> Column:
-    """Smallest k >= 0 with ``unit * 2^k >= extent``."""
-    k = F.ceil(F.log2(F.greatest(extent, F.lit(unit)) / unit)).cast("int")
+    """Smallest k >= 0 with ``unit * 2^k >= extent``; never less, however long the interval."""
+    k = F.ceil(F.log2(F.greatest(extent, F.lit(unit))) - F.log2(F.lit(float(unit)))).cast("int")
     # One step up when rounding in the logarithm fell short.
-    k = F.when(F.pow(F.lit(2.0), k) * unit < extent, k + 1).otherwise(k)
-    return F.least(F.greatest(k, F.lit(0)), F.lit(_MAX_LEVEL))
+    k = F.greatest(F.when(F.pow(F.lit(2.0), k) * unit < extent, k + 1).otherwise(k), F.lit(0))
+    return F.when(F.isnan(extent) | (extent == float("inf")), F.lit(_OPEN)).otherwise(k)
 
 
 def _cell(x: Column, level: Column, unit: float) -> Column:
-    return F.floor(x / (F.pow(F.lit(2.0), level) * unit)).cast("bigint")
+    return F.when(level >= _OPEN, F.lit(0).cast("bigint")).otherwise(
+        F.floor(x / (F.pow(F.lit(2.0), level) * unit)).cast("bigint"))
 
 
 def range_join(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str, unit: float = 1.0,
@@ -31,7 +33,7 @@ def range_join(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str
 
     ``unit`` is the finest cell width; any positive value is right, one near the usual
     interval length is fast. A point is compared on the levels that occur among
-    the intervals (63 at most).
+    the intervals; those with infinite ends share one cell.
     """
     v = intervals.withColumn("__lvl", _level(F.col(hi).cast("double") - F.col(lo).cast("double"), unit))
     a, b = (_cell(F.col(c).cast("double"), F.col("__lvl"), unit) for c in (lo, hi))

@@ -225,3 +225,13 @@ def test_empty_pad_wide_codes_and_bad_hex(spark):
     assert (got.p, got.t, got.c) == ("   ab", "ab", "A")
     with pytest.raises(Exception, match="four hexadecimal"):
         one.select(strings.hex_to_raw(F.concat(F.lit("004"), F.col("id").substr(1, 0)))).collect()
+
+
+def test_range_join_of_very_long_and_open_intervals(spark):
+    from eventloom.operators.joins import range_join
+    points = spark.createDataFrame([(0.0,), (5.0,), (5e12,), (1e13,), (-1e299,)], "x double")
+    spans = [(0.0, 1e13), (-1e300, 1e300), (float("-inf"), 4.0), (5.0, 5.0), (-1.7e308, 1.7e308)]
+    intervals = spark.createDataFrame(spans, "lo double, hi double")
+    want = sum(lo <= r.x <= hi for r in points.collect() for lo, hi in spans)
+    for unit in (1e-6, 1.0, 1e6):
+        assert range_join(points, "x", intervals, "lo", "hi", unit).count() == want
