@@ -31,11 +31,13 @@ def group_concat(x: Column, separator: str = ",", order: Sequence[Column] | None
 
     The result is one text per group, so the group has to fit one row by definition.
     """
-    if distinct:
+    if distinct and not order:
         parts = F.array_sort(F.collect_set(x))
     elif order:
         rows = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], x.alias("x")))))
         parts = F.transform(rows, lambda r: r["x"])
+        if distinct:  # each text where it comes first
+            parts = F.array_distinct(parts)
     else:
         parts = F.array_sort(F.collect_list(x))
     return F.when(F.size(parts) > 0, F.array_join(parts, separator))

@@ -235,3 +235,12 @@ def test_range_join_of_very_long_and_open_intervals(spark):
     want = sum(lo <= r.x <= hi for r in points.collect() for lo, hi in spans)
     for unit in (1e-6, 1.0, 1e6):
         assert range_join(points, "x", intervals, "lo", "hi", unit).count() == want
+
+
+def test_distinct_concatenation_keeps_the_order_asked_for(spark):
+    from pyspark.sql import functions as F
+
+    from eventloom.operators import aggregates
+    df = spark.createDataFrame([("a", 2), ("b", 1), ("a", 3), (None, 0)], "x string, o int")
+    got = df.agg(aggregates.group_concat(F.col("x"), ",", order=[F.col("o")], distinct=True).alias("t")).first()
+    assert got.t == "b,a"
