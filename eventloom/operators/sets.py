@@ -22,15 +22,16 @@ def chain(first: DataFrame, *steps: tuple[str, DataFrame]) -> DataFrame:
 
 
 def recursive(base: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = False,
-              max_rounds: int = 1000) -> DataFrame:
+              max_rounds: int | None = None) -> DataFrame:
     """Applies ``step`` to the last delta until it is empty; all rounds together are the result.
 
     Rows are not de-duplicated across rounds; with ``distinct`` they are within one. Each
     delta is checkpointed, so the plan of a round does not contain the earlier ones.
+    ``max_rounds`` guards against a recursion without end; by default there is no limit.
     """
     delta = cut_lineage(base.distinct() if distinct else base)
     rounds = [delta]
-    for _ in range(max_rounds):
+    while max_rounds is None or len(rounds) <= max_rounds:
         delta = step(delta)
         delta = cut_lineage(delta.distinct() if distinct else delta)
         if delta.isEmpty():
