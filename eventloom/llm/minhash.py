@@ -3,7 +3,10 @@
 Equal texts are collapsed first. A shingle's weight is ``(1 + ln tf) * (1 + 0.25 * idf share)``, the document
 frequency being counted in a fixed number of hashed features, so the table of weights never grows. Each
 sample is the least ``ln a`` of the scheme, which two texts share with the probability of
-their weighted Jaccard similarity. Candidates are verified on their whole texts.
+their weighted Jaccard similarity. Candidates are verified on their whole texts: every member of a bucket
+against the bucket's first, then every member that is not of the bucket's largest class so far against the
+members of other classes. One minus the similarity is a metric, so a pair whose similarities to the first
+differ by more than the threshold allows is no link and is not compared.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 10, 3
 FEATURES = 1 << 18
 IDF_SHARE = 0.25
-#: Mean number of members of a bucket that are compared with each other; a larger bucket is dealt over several such slots.
-SLOT = 8
+#: Mean number of pairs that share one copy of a text which many pairs have.
+PART = 64
 
 
 def _mix(x):
@@ -104,8 +107,7 @@ def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """``doc_id, class_id, kept`` for every row: the class is named by its smallest id, whose row is kept.
 
     Null ids stay rows of their own class (null) and are kept. Null texts and texts without words resemble
-    nothing; equal texts with words always share a class. Buckets are split into slots of a few members, dealt anew
-    in each band, and every member is also compared with its bucket's first.
+    nothing; equal texts with words always share a class.
     """
     light = docs.select("doc_id", text_key().alias("key"), "text")
     some = light.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
@@ -124,30 +126,54 @@ def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     signed = stored(texts.select("id", "text").mapInArrow(sign, "id long, bands array<long>"), "bands")
     members = signed.select("id", F.posexplode("bands").alias("band", "bucket"))
     sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
-    slot = F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / SLOT)).alias("slot")
-    placed = stored(members.join(sizes, ["band", "bucket"]).select("band", "bucket", slot, "id", "hub"), "slots")
-    other = placed.select("band", "bucket", "slot", F.col("id").alias("b"))
-    pairs = (placed.join(other, ["band", "bucket", "slot"]).where("id < b").select(F.col("id").alias("a"), "b")
-             .union(placed.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct())
+    placed = stored(members.join(sizes, ["band", "bucket"]).select("band", "bucket", "n", "id", "hub"), "buckets")
 
     def verify(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
         for batch in batches:
-            a, b, s, t = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
+            s, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            alike, last, one = [], None, None
             for x, y in zip(s, t):
-                (v, c), (u, d) = shingles(x), shingles(y)
-                wv, wu = weights(v, c, idf.value), weights(u, d, idf.value)
+                if x != last:
+                    v, c = shingles(x)
+                    last, one = x, (v, weights(v, c, idf.value))
+                u, d = shingles(y)
+                (v, wv), wu = one, weights(u, d, idf.value)
                 _, i, j = np.intersect1d(v, u, assume_unique=True, return_indices=True)
                 both = np.minimum(wv[i], wu[j]).sum()
-                keep.append(both >= threshold * (wv.sum() + wu.sum() - both))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, k in zip(x, keep) if k], pa.int64()) for x in (a, b)], ["a", "b"])
-
-    first = texts.select(F.col("id").alias("a"), F.col("text").alias("s"))
-    second = texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
-    links = stored(pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"), "links")
-    roots = components(links).select(F.col("node").alias("id"), "root")
+                alike.append(float(both / (wv.sum() + wu.sum() - both)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.float64())], ["a", "b", "alike"])
+
+    def compared(pairs: DataFrame, label: str) -> DataFrame:
+        """Similarity of ``a, b, n`` pairs; an ``a`` that many pairs have is dealt over parts of about PART pairs each."""
+        part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).alias("part")
+        dealt = pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", part)
+        first = dealt.select("a", "part").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
+        second = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
+        joined = second.join(first, ["a", "part"]).select("a", "b", "s", "t")
+        return stored(joined.mapInArrow(verify, "a long, b long, alike double"), label)
+
+    hubs = compared(placed.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n"), "hubs")
+    links = hubs.where(F.col("alike") >= threshold).select("a", "b")
+    roots = stored(components(links).select(F.col("node").alias("id"), "root"), "roots")
+
+    # what a hub's links leave apart: members of other classes against the whole bucket, unless the distances to the hub rule them out
+    near = hubs.select(F.col("a").alias("hub"), F.col("b").alias("id"), "alike")
+    known = (placed.join(near, ["hub", "id"], "left").join(roots, "id", "left")
+             .select("band", "bucket", "n", "id", F.coalesce("alike", F.lit(1.0)).alias("alike"), F.coalesce("root", "id").alias("root")))
+    each = known.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = each.groupBy("band", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    open_ = stored(known.join(largest, ["band", "bucket"]).drop("classes"), "open")
+    stray = open_.where("root <> main").select("band", "bucket", "n", F.col("id").alias("a"), F.col("alike").alias("u"), F.col("root").alias("p"))
+    other = open_.select("band", "bucket", F.col("id").alias("b"), F.col("alike").alias("v"), F.col("root").alias("q"), "main")
+    rest = stray.join(other, ["band", "bucket"]).where(
+        (F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("a") < F.col("b")))
+        & (F.abs(F.col("u") - F.col("v")) <= 1 - threshold + 1e-9))
+    late = compared(rest.select("a", "b", "n"), "rest").where(F.col("alike") >= threshold).select("a", "b")
+    if late.limit(1).count():
+        joined = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(late)
+        roots = components(joined).select(F.col("node").alias("id"), "root")
     classes = texts.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
     return (light.select("doc_id", "key").join(classes, "key", "left")
             .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
