@@ -4,7 +4,7 @@ Equal texts are collapsed first. A shingle's weight is ``(1 + ln tf) * (1 + 0.25
 frequency being counted in a fixed number of hashed features, so the table of weights never grows. Each
 sample is the least ``ln a`` of the scheme, which two texts share with the probability of
 their weighted Jaccard similarity. Candidates are verified on their whole texts: every member of a bucket
-against the bucket's first, then every member that is not of the bucket's largest class so far against the
+against the bucket's first and a few others, then every member outside the bucket's largest class so far against the
 members of other classes. One minus the similarity is a metric, so a pair whose similarities to the first
 differ by more than the threshold allows is no link and is not compared.
 """
@@ -26,6 +26,12 @@ FEATURES = 1 << 18
 IDF_SHARE = 0.25
 #: Mean number of pairs that share one copy of a text which many pairs have.
 PART = 64
+#: Mean number of members of a bucket that are compared with each other after the hubs.
+SLOT = 8
+#: Shingles that are sampled together, so that short texts share the cost of a call.
+TOGETHER = 1 << 14
+#: Words whose hashes a task keeps.
+KNOWN_WORDS = 1 << 20
 
 
 def _mix(x):
@@ -35,17 +41,27 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Hash of each word met; emptied when it has grown long."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh3_64_intdigest
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = h = xxh3_64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def shingles(text: str):
     """Distinct hashes of the text's five-word shingles and how often each occurs; all its words if fewer."""
     import numpy as np
-    from xxhash import xxh3_64_intdigest
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0)
-    seen: dict[str, int] = {}
-    for w in set(words):
-        seen[w] = xxh3_64_intdigest(w)
-    h = np.array([seen[w] for w in words], np.uint64)
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS + 1)
     s = np.zeros(n, np.uint64)
     for i in range(min(WORDS, len(h))):
@@ -84,23 +100,23 @@ def idf_table(texts: DataFrame):
     return np.clip(np.log((n + 1) / (np.minimum(df, n) + 1)) / np.log(n + 1), 0, 1)
 
 
-def band_keys(values, w):
-    """One 64-bit key for each band of samples."""
+def band_keys(values, w, starts):
+    """One 64-bit key for each band of samples (rows) and text (columns); a text's shingles begin at its start."""
     import numpy as np
     logw, keys, at = np.log(w), [], 0
-    one = 1.0 / (1 << 32)
+    low, one = np.uint64((1 << 21) - 1), 1.0 / (1 << 21)
     for _ in range(BANDS):
-        key = np.zeros(1, np.uint64)
+        key = np.zeros(len(starts), np.uint64)
         for _ in range(ROWS):
             at += 1
-            h = [_mix(values + np.uint64((at * 8 + j) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for j in range(3)]
-            u = [((x >> s) & np.uint64(0xFFFFFFFF)).astype(float) * one + one / 2 for x in h for s in (np.uint64(0), np.uint64(32))]
+            h = [_mix(values + np.uint64((at * 8 + j) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for j in range(2)]
+            u = [((x >> np.uint64(k)) & low).astype(float) * one + one / 2 for x, k in zip(h[:1] * 3 + h[1:] * 2, (0, 21, 42, 0, 21))]
             r, c, beta = -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]
             t = np.floor(logw / r + beta)
-            least = (np.log(c) - r * (t - beta + 1)).min()
-            key = _mix(key + np.array([least]).view(np.uint64))
-        keys.append(int(key.view(np.int64)[0]))
-    return keys
+            least = np.minimum.reduceat(np.log(c) - r * (t - beta + 1), starts)
+            key = _mix(key + least.view(np.uint64))
+        keys.append(key.view(np.int64))
+    return np.stack(keys)
 
 
 def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
@@ -115,12 +131,28 @@ def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     idf = texts.sparkSession.sparkContext.broadcast(idf_table(texts))
 
     def sign(batches) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
+            out, waiting, size = [[]] * b.num_rows, [], 0
+
+            def flush() -> None:
+                starts = np.cumsum([0] + [len(v) for v, _, _ in waiting[:-1]])
+                values, w = (np.concatenate([x[i] for x in waiting]) for i in (0, 1))
+                for (_, _, place), keys in zip(waiting, band_keys(values, w, starts).T):
+                    out[place] = keys
+                waiting.clear()
+
+            for place, t in enumerate(b.column(1).to_pylist()):
                 v, c = shingles(t)
-                out.append(band_keys(v, weights(v, c, idf.value)) if len(v) else [])
+                if len(v):
+                    waiting.append((v, weights(v, c, idf.value), place))
+                    size += len(v)
+                if size >= TOGETHER:
+                    flush()
+                    size = 0
+            if waiting:
+                flush()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "bands"])
 
     signed = stored(texts.select("id", "text").mapInArrow(sign, "id long, bands array<long>"), "bands")
@@ -158,22 +190,39 @@ def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     links = hubs.where(F.col("alike") >= threshold).select("a", "b")
     roots = stored(components(links).select(F.col("node").alias("id"), "root"), "roots")
 
-    # what a hub's links leave apart: members of other classes against the whole bucket, unless the distances to the hub rule them out
     near = hubs.select(F.col("a").alias("hub"), F.col("b").alias("id"), "alike")
-    known = (placed.join(near, ["hub", "id"], "left").join(roots, "id", "left")
-             .select("band", "bucket", "n", "id", F.coalesce("alike", F.lit(1.0)).alias("alike"), F.coalesce("root", "id").alias("root")))
-    each = known.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = each.groupBy("band", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    open_ = stored(known.join(largest, ["band", "bucket"]).drop("classes"), "open")
+    held = stored(placed.join(near, ["hub", "id"], "left").select("band", "bucket", "n", "id", F.coalesce("alike", F.lit(1.0)).alias("alike")), "held")
+
+    def unsettled(label: str) -> DataFrame:
+        """Members of the buckets that hold several classes so far, with the class and the bucket's largest."""
+        known = held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        each = known.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+        largest = (each.groupBy("band", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("classes"))
+                   .where("classes > 1").drop("classes"))
+        return stored(known.join(largest, ["band", "bucket"]), label)
+
+    def merged(found: DataFrame) -> DataFrame:
+        late = found.where(F.col("alike") >= threshold).select("a", "b")
+        if not late.limit(1).count():
+            return roots
+        joined = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(late)
+        return stored(components(joined).select(F.col("node").alias("id"), "root"), "roots")
+
+    # a few others of the bucket each, which joins nearly all that the hub alone leaves apart
+    slot = F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / SLOT)).alias("slot")
+    dealt = unsettled("unsettled").select("band", "bucket", slot, "n", "id", "root", "alike")
+    mate = dealt.select("band", "bucket", "slot", F.col("id").alias("b"), F.col("root").alias("q"), F.col("alike").alias("v"))
+    some = dealt.join(mate, ["band", "bucket", "slot"]).where(
+        (F.col("id") < F.col("b")) & (F.col("root") != F.col("q")) & (F.abs(F.col("alike") - F.col("v")) <= 1 - threshold + 1e-9))
+    roots = merged(compared(some.select(F.col("id").alias("a"), "b", "n"), "some"))
+    # then each member outside the largest class with all members of other classes, so that no link is lost
+    open_ = unsettled("open")
     stray = open_.where("root <> main").select("band", "bucket", "n", F.col("id").alias("a"), F.col("alike").alias("u"), F.col("root").alias("p"))
     other = open_.select("band", "bucket", F.col("id").alias("b"), F.col("alike").alias("v"), F.col("root").alias("q"), "main")
     rest = stray.join(other, ["band", "bucket"]).where(
         (F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("a") < F.col("b")))
         & (F.abs(F.col("u") - F.col("v")) <= 1 - threshold + 1e-9))
-    late = compared(rest.select("a", "b", "n"), "rest").where(F.col("alike") >= threshold).select("a", "b")
-    if late.limit(1).count():
-        joined = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(late)
-        roots = components(joined).select(F.col("node").alias("id"), "root")
+    roots = merged(compared(rest.select("a", "b", "n"), "rest"))
     classes = texts.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
     return (light.select("doc_id", "key").join(classes, "key", "left")
             .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

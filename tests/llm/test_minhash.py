@@ -24,7 +24,8 @@ def test_against_all_pairs(spark):
 
 def test_cases(spark):
     base = " ".join(f"w{i}" for i in range(200))
-    rows = [(1, base, 1), (2, base, 1), (3, base + " tail", 1), (4, None, 1), (5, "", 1), (None, base, 1), (6, "other words", 1), (6, "other words", 1)]
+    rows = [(1, base, 1), (2, base, 1), (3, base + " tail", 1), (4, None, 1), (5, "", 1), (None, base, 1), (6, "other words", 1), (6, "other words", 1),
+            (7, "\u00a0", 1)]
     got = {(r.doc_id, r.class_id) for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string, kept int")).collect()}
-    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, None), (6, 6)}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, None), (6, 6), (7, 7)}
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
