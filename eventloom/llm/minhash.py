@@ -4,16 +4,16 @@ Equal texts are collapsed first. A shingle's weight is ``(1 + ln tf) * (1 + 0.25
 frequency being counted in a fixed number of hashed features, so the table of weights never grows. Each
 sample is the least ``ln a`` of the scheme, which two texts share with the probability of
 their weighted Jaccard similarity. Candidates are verified on their whole texts: every member of a bucket
-against the bucket's first and a few others, then every member outside the bucket's largest class so far against the
-members of other classes. One minus the similarity is a metric, so a pair whose similarities to the first
-differ by more than the threshold allows is no link and is not compared.
+against the bucket's first and a few others, which settles nearly all classes. What is left of
+the buckets with several classes is joined by an exact prefix filter, whatever bucket it is in, so that no link
+is lost and texts that only share a bucket cost no comparison.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import components, stored, text_key
@@ -119,6 +119,49 @@ def band_keys(values, w, starts):
     return np.stack(keys)
 
 
+def weighed(texts: DataFrame, idf) -> DataFrame:
+    """``id, root, stray, s, w`` for each distinct shingle of ``texts``; ``idf`` is the broadcast table."""
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            for i in range(b.num_rows):
+                v, c = shingles(b.column(3)[i].as_py())
+                same = [pa.array(np.repeat(b.column(k)[i].as_py(), len(v))) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(v.view(np.int64)), pa.array(weights(v, c, idf.value))],
+                                                 ["id", "root", "stray", "s", "w"])
+
+    return texts.select("id", "root", "stray", "text").mapInArrow(run, "id long, root long, stray boolean, s long, w double")
+
+
+def prefix_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: every pair of texts of different roots, one of them stray, that can be as similar as ``threshold``.
+
+    Shingles are ordered from rare to frequent. Two texts of the weights ``x <= y`` that are similar share at least
+    ``2t / (1 + t)`` of ``x`` and ``t`` of ``y``, so they share a shingle that stands before that much of the
+    order is left, in either of them. Shingles of one text only come first and need no row. What a pair
+    shares in these prefixes and has left behind them bounds what it shares at all.
+    """
+    rows = stored(rows, "weighed")
+    total = rows.groupBy("id").agg(F.sum("w").alias("total"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "df")
+    behind = Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least, slack = 2 * threshold / (1 + threshold), 1e-9
+    left = rows.join(often, "s").join(total, "id").withColumn("left", F.sum("w").over(behind))
+    prefix = stored(left.where(F.col("left") >= (threshold - slack) * F.col("total")), "prefix")
+    small = prefix.where(F.col("left") >= (least - slack) * F.col("total"))
+    x, y = (d.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "stray", "w", "left", "total")]) for d, k in ((small, "x"), (prefix, "y")))
+    met = x.join(y, "s").where((F.col("root_x") != F.col("root_y")) & (F.col("stray_x") | F.col("stray_y"))
+                               & ((F.col("total_x") < F.col("total_y")) | ((F.col("total_x") == F.col("total_y")) & (F.col("id_x") < F.col("id_y"))))
+                               & (F.col("total_x") >= (threshold - slack) * F.col("total_y")))
+    shared = F.least("w_x", "w_y")
+    pairs = met.groupBy("id_x", "id_y").agg(
+        F.sum(shared).alias("both"), F.min(F.least(F.col("left_x") - F.col("w_x"), F.col("left_y") - F.col("w_y"))).alias("after"),
+        F.first("total_x").alias("total_x"), F.first("total_y").alias("total_y"))
+    enough = F.col("both") + F.col("after") >= (least / 2 - slack) * (F.col("total_x") + F.col("total_y"))
+    return pairs.where(enough).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
+
 def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """``doc_id, class_id, kept`` for every row: the class is named by its smallest id, whose row is kept.
 
@@ -215,14 +258,10 @@ def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     some = dealt.join(mate, ["band", "bucket", "slot"]).where(
         (F.col("id") < F.col("b")) & (F.col("root") != F.col("q")) & (F.abs(F.col("alike") - F.col("v")) <= 1 - threshold + 1e-9))
     roots = merged(compared(some.select(F.col("id").alias("a"), "b", "n"), "some"))
-    # then each member outside the largest class with all members of other classes, so that no link is lost
-    open_ = unsettled("open")
-    stray = open_.where("root <> main").select("band", "bucket", "n", F.col("id").alias("a"), F.col("alike").alias("u"), F.col("root").alias("p"))
-    other = open_.select("band", "bucket", F.col("id").alias("b"), F.col("alike").alias("v"), F.col("root").alias("q"), "main")
-    rest = stray.join(other, ["band", "bucket"]).where(
-        (F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (F.abs(F.col("u") - F.col("v")) <= 1 - threshold + 1e-9))
-    roots = merged(compared(rest.select("a", "b", "n"), "rest"))
+    # then, exactly, all that can still be linked: texts of different classes whose prefixes share a shingle
+    open_ = unsettled("open").groupBy("id").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("stray"))
+    rest = prefix_pairs(weighed(texts.join(open_, "id"), idf), threshold)
+    roots = merged(compared(rest.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a"))), "rest"))
     classes = texts.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
     return (light.select("doc_id", "key").join(classes, "key", "left")
             .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

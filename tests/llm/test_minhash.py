@@ -1,4 +1,6 @@
-from eventloom.llm.minhash import near_copies, op1_minhash
+import numpy as np
+
+from eventloom.llm.minhash import near_copies, op1_minhash, prefix_pairs
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,3 +31,21 @@ def test_cases(spark):
     got = {(r.doc_id, r.class_id) for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string, kept int")).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, None), (6, 6), (7, 7)}
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    base, texts = list(range(60)), {}
+    for i in range(120):
+        own = rng.choice(60, rng.integers(0, 20), replace=False)
+        texts[i] = {(1000 + 100 * i + s if k in own else s): 1 + s % 7 / 7 for k, s in enumerate(base)}
+    rows = [(i, i // 2, i % 3 > 0, s, w) for i, t in texts.items() for s, w in t.items()]
+    got = {(r.a, r.b) for r in prefix_pairs(spark.createDataFrame(rows, "id long, root long, stray boolean, s long, w double"), 0.8).collect()}
+    wanted = set()
+    for a in texts:
+        for b in range(a + 1, 120):
+            x, y = texts[a], texts[b]
+            both = sum(x[s] for s in x.keys() & y.keys())
+            if a // 2 != b // 2 and (a % 3 or b % 3) and both >= 0.8 * (sum(x.values()) + sum(y.values()) - both):
+                wanted.add((a, b))
+    assert len(wanted) > 100 and wanted <= got and len(got) < 120 * 119 / 2
