@@ -139,12 +139,14 @@ def prefix_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
     Shingles are ordered from rare to frequent. Two texts of the weights ``x <= y`` that are similar share at least
     ``2t / (1 + t)`` of ``x`` and ``t`` of ``y``, so they share a shingle that stands before that much of the
-    order is left, in either of them. Shingles of one text only come first and need no row. What a pair
+    order is left, in either of them; at the first shingle they share, either has as much left as both must share.
+    Shingles of one root, or of no stray text, are shared by no pair asked for, so they come first and need no row. What a pair
     shares in these prefixes and has left behind them bounds what it shares at all.
     """
     rows = stored(rows, "weighed")
     total = rows.groupBy("id").agg(F.sum("w").alias("total"))
-    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s", "df")
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("stray").alias("some"))
+    often = often.where("lo < hi and some").select("s", "df")
     behind = Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     least, slack = 2 * threshold / (1 + threshold), 1e-9
     left = rows.join(often, "s").join(total, "id").withColumn("left", F.sum("w").over(behind))
@@ -153,7 +155,8 @@ def prefix_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     x, y = (d.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "stray", "w", "left", "total")]) for d, k in ((small, "x"), (prefix, "y")))
     met = x.join(y, "s").where((F.col("root_x") != F.col("root_y")) & (F.col("stray_x") | F.col("stray_y"))
                                & ((F.col("total_x") < F.col("total_y")) | ((F.col("total_x") == F.col("total_y")) & (F.col("id_x") < F.col("id_y"))))
-                               & (F.col("total_x") >= (threshold - slack) * F.col("total_y")))
+                               & (F.col("total_x") >= (threshold - slack) * F.col("total_y"))
+                               & (F.least("left_x", "left_y") >= (least / 2 - slack) * (F.col("total_x") + F.col("total_y"))))
     shared = F.least("w_x", "w_y")
     pairs = met.groupBy("id_x", "id_y").agg(
         F.sum(shared).alias("both"), F.min(F.least(F.col("left_x") - F.col("w_x"), F.col("left_y") - F.col("w_y"))).alias("after"),
