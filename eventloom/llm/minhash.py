@@ -103,18 +103,22 @@ def idf_table(texts: DataFrame):
 def band_keys(values, w, starts):
     """One 64-bit key for each band of samples (rows) and text (columns); a text's shingles begin at its start."""
     import numpy as np
-    logw, keys, at = np.log(w), [], 0
-    low, one = np.uint64((1 << 21) - 1), 1.0 / (1 << 21)
+    logw, keys, at = np.log(w).astype(np.float32), [], 0
+
+    def unit(bits):  # 23 of 32 bits, never 0 or 1
+        return (bits >> np.uint32(9)).astype(np.float32) * np.float32(2 ** -23) + np.float32(2 ** -24)
+
     for _ in range(BANDS):
         key = np.zeros(len(starts), np.uint64)
         for _ in range(ROWS):
             at += 1
-            h = [_mix(values + np.uint64((at * 8 + j) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for j in range(2)]
-            u = [((x >> np.uint64(k)) & low).astype(float) * one + one / 2 for x, k in zip(h[:1] * 3 + h[1:] * 2, (0, 21, 42, 0, 21))]
-            r, c, beta = -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]
+            h = _mix(values + np.uint64(at * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            (x, y), (u, v) = (k.view(np.uint32).reshape(-1, 2).T for k in (h, _mix(h)))
+            beta = ((x ^ u) & np.uint32(0xFFFF)).astype(np.float32) * np.float32(2 ** -16)
+            r, c = -np.log(unit(x) * unit(y)), -np.log(unit(u) * unit(v))
             t = np.floor(logw / r + beta)
             least = np.minimum.reduceat(np.log(c) - r * (t - beta + 1), starts)
-            key = _mix(key + least.view(np.uint64))
+            key = _mix(key + least.view(np.uint32).astype(np.uint64))
         keys.append(key.view(np.int64))
     return np.stack(keys)
 
