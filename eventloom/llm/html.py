@@ -26,6 +26,12 @@ VOID = frozenset("br img hr input meta link source wbr area base col embed track
 CONTAINERS = frozenset("article main section div body td".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption table tr td th hr address".split()) \
     | CONTAINERS
+#: Start tags that end an open paragraph, and for other elements with optional end tags: what is ended, and what shields it.
+ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
+                   "main menu nav ol p pre section table ul".split())
+_TABLE = frozenset("table td th caption button template".split())
+ENDS = {"li": (("li",), _TABLE | {"ul", "ol", "menu"}), "dt": (("dt", "dd"), _TABLE | {"dl"}), "dd": (("dt", "dd"), _TABLE | {"dl"}),
+        "td": (("td", "th"), frozenset({"table", "tr"})), "th": (("td", "th"), frozenset({"table", "tr"})), "tr": (("tr",), frozenset({"table"}))}
 _BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|sidebar|cookies?|notice|banner|consent|menu|nav\w*|"
                      r"breadcrumbs?|footer|header|comments?|share|social|related|newsletter|subscribe|widget)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
@@ -42,6 +48,21 @@ def _scan(page: str) -> list[tuple[str, str]]:
         if text:
             blocks.append((path[-1], text))
 
+    def close(depth: int) -> None:
+        nonlocal skip
+        while len(stack) > depth:
+            _, boiler, container = stack.pop()
+            skip -= boiler
+            if container:
+                path.pop()
+
+    def imply(ended: tuple[str, ...], shields: frozenset[str]) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in ended:
+                return close(i)
+            if stack[i][0] in shields:
+                return None
+
     while True:
         m = _TAG.search(page, at)
         if not skip:
@@ -55,13 +76,7 @@ def _scan(page: str) -> list[tuple[str, str]]:
             if name in BLOCKS and not skip:
                 flush()
             if any(s[0] == name for s in stack):
-                while True:
-                    closed, boiler, container = stack.pop()
-                    skip -= boiler
-                    if container:
-                        path.pop()
-                    if closed == name:
-                        break
+                close(max(i for i, s in enumerate(stack) if s[0] == name))
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -69,14 +84,16 @@ def _scan(page: str) -> list[tuple[str, str]]:
             continue
         if name in BLOCKS and not skip:
             flush()
+        if name in ENDS_P:
+            imply(("p",), _TABLE)
+        if name in ENDS:
+            imply(*ENDS[name])
         if name == "br":
             if not skip:
                 buffer.append(" ")
             continue
         if name in VOID or m[3].endswith("/"):
             continue
-        if name in ("p", "li") and stack and stack[-1][0] == name:
-            stack.pop()
         marks = " ".join(v for a in _ATTR.findall(m[3]) for v in a[1:] if v)
         boiler = name in DROPPED or name != "body" and bool(marks and _BOILER.search(marks))
         container = name in CONTAINERS

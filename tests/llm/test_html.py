@@ -23,3 +23,15 @@ def test_cases(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert [r.text for r in sorted(got, key=lambda r: r.page_id)][:4] == ["One & two three\n\nFour"] * 2 + ["", ""]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def read(spark, *pages, host="http://a/"):
+    rows = [(i, host + str(i), page) for i, page in enumerate(pages)]
+    return [r.text for r in sorted(extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_implied_end_tags_of_boilerplate(spark):
+    article = "<article><p>One<p>Two<ul><li>a<li>b</ul></article>"
+    assert read(spark, f'<body><nav><ul><li class="nav-item">a<li class="nav-item">b</ul></nav>{article}',
+                f'<body><p class="advert">x<p>y{article}', f'<body><p class="advert">x<div>y</div>{article}',
+                f'<body><table><tr><td class="menu">m<tr><td>n</table>{article}') == ["One\n\nTwo\n\na\n\nb"] * 4
