@@ -20,12 +20,13 @@ from eventloom.session import cut_lineage
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-RAW = frozenset("script style noscript template textarea svg iframe title".split())
-DROPPED = frozenset("nav header footer aside form button select menu dialog head".split())
+RAW = frozenset("script style textarea iframe title".split())
+DROPPED = frozenset("nav header footer aside form button select menu dialog head svg noscript template".split())
 VOID = frozenset("br img hr input meta link source wbr area base col embed track param".split())
 CONTAINERS = frozenset("article main section div body td".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption table tr td th hr address".split()) \
     | CONTAINERS
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open paragraph, and for other elements with optional end tags: what is ended, and what shields it.
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
                    "main menu nav ol p pre section table ul".split())
@@ -34,29 +35,68 @@ ENDS = {"li": (("li",), _TABLE | {"ul", "ol", "menu"}), "dt": (("dt", "dd"), _TA
         "td": (("td", "th"), frozenset({"table", "tr"})), "th": (("td", "th"), frozenset({"table", "tr"})), "tr": (("tr",), frozenset({"table"}))}
 _BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|sidebar|cookies?|notice|banner|consent|menu|nav\w*|"
                      r"breadcrumbs?|footer|header|comments?|share|social|related|newsletter|subscribe|widget)(?:$|[\s_-])", re.I)
+#: Tokens such as with-sidebar or has-comments say what stands beside an element, not what it is.
+_MODIFIER = re.compile(r"(?:^|[_-])(?:with|without|no|not|has|have)[_-]", re.I)
+#: An article whose whole token says so is a comment or a teaser, not the article of the page.
+_TEASER = re.compile(r"(?:^|\s)(?:comments?|comment[_-]\w+|related[\w-]*|ads?|advert\w*|promo\w*|sponsor\w*)(?:$|\s)", re.I)
+_SURE = re.compile(_TEASER.pattern[:-len(r")(?:$|\s)")] + r"|cookie[\w-]*|consent|newsletter|subscribe|share|social|sidebar|nav\w*|menu)(?:$|\s)", re.I)
+_SELF = re.compile(r"(?:^|[\s\"'])/$")
 _SPACE = re.compile(r"\s+")
 
 
-def _scan(page: str) -> list[tuple[str, str]]:
-    """``(path of containers, block text)`` in page order, boilerplate left out."""
+def _marked(name: str, marks: str) -> bool:
+    """Whether class, id and role call an element boilerplate."""
+    if not marks or name in ("body", "html"):
+        return False
+    if name in ("article", "main"):
+        return bool(_TEASER.search(marks))
+    return bool(_BOILER.search(" ".join(t for t in marks.split() if not _MODIFIER.search(t))))
+
+
+def _scan(page: str) -> list[tuple[str, str, bool]]:
+    """``(path of containers, block text, whether heading or paragraph)`` in page order, boilerplate left out.
+
+    An element that only its class, id or role (or being a form) makes boilerplate is read all the same if it
+    holds every article and main of the page, or most of the text of a page without any (nearly all, where a whole
+    class name such as ``comments`` or ``cookie-banner`` leaves little doubt).
+    """
+    spared: set[int] = set()
+    while True:
+        blocks, more = _pass(page, spared)
+        if not more:
+            return blocks
+        spared |= more
+
+
+def _pass(page: str, spared: set[int]) -> tuple[list[tuple[str, str, bool]], set[int]]:
+    """The blocks of the page with the elements at the offsets ``spared`` kept, and further elements to spare."""
     blocks, buffer, stack, at, skip = [], [], [], 0, 0
-    path = [""]
+    path, held, prose, mains = [""], [], 0, 0
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         text = _SPACE.sub(" ", _html.unescape("".join(buffer))).strip()
         buffer.clear()
         if text:
-            blocks.append((path[-1], text))
+            inner = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")
+            blocks.append((path[-1], text, inner in PROSE))
 
     def close(depth: int) -> None:
         nonlocal skip
+        if not skip and any(s[0] in BLOCKS for s in stack[depth:]):
+            flush()
         while len(stack) > depth:
-            _, boiler, container = stack.pop()
+            name, boiler, container, start = stack.pop()
+            opened[name] -= 1
             skip -= boiler
             if container:
                 path.pop()
+            if start:
+                held.append((prose - start[0], mains - start[1], *start[2:]))
 
     def imply(ended: tuple[str, ...], shields: frozenset[str]) -> None:
+        if not any(opened.get(e) for e in ended):
+            return None
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in ended:
                 return close(i)
@@ -65,8 +105,12 @@ def _scan(page: str) -> list[tuple[str, str]]:
 
     while True:
         m = _TAG.search(page, at)
+        text = page[at:m.start() if m else len(page)]
+        # text below an element that is dropped by its name is no prose of the page
+        if not skip or not any(s[1] and not s[3] for s in stack):
+            prose += len(text.strip())
         if not skip:
-            buffer.append(page[at:m.start() if m else len(page)])
+            buffer.append(text)
         if not m:
             break
         at, name = m.end(), (m[2] or "").lower()
@@ -75,12 +119,16 @@ def _scan(page: str) -> list[tuple[str, str]]:
         if m[1]:
             if name in BLOCKS and not skip:
                 flush()
-            if any(s[0] == name for s in stack):
+            if opened.get(name):
                 close(max(i for i, s in enumerate(stack) if s[0] == name))
             continue
         if name in RAW:
+            if _SELF.search(m[3]):
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            # without an end tag code takes the rest of the page, other raw text ends at the next tag
+            rest = len(page) if name in ("script", "style") else page.find("<", at)
+            at = end.end() if end else rest if rest >= 0 else len(page)
             continue
         if name in BLOCKS and not skip:
             flush()
@@ -94,25 +142,35 @@ def _scan(page: str) -> list[tuple[str, str]]:
             continue
         if name in VOID or m[3].endswith("/"):
             continue
-        marks = " ".join(v for a in _ATTR.findall(m[3]) for v in a[1:] if v)
-        boiler = name in DROPPED or name != "body" and bool(marks and _BOILER.search(marks))
+        attrs = _ATTR.findall(m[3])
+        marks = " ".join(v for a in attrs for v in a[1:] if v)
+        marked = _marked(name, marks)
+        by_name = name in DROPPED and name != "form"
+        boiler = by_name or (marked or name == "form") and m.start() not in spared
         container = name in CONTAINERS
         if container:
-            cls = next((v for a in _ATTR.findall(m[3]) if a[0].lower() == "class" for v in a[1:] if v), "")
+            cls = next((v for a in attrs if a[0].lower() == "class" for v in a[1:] if v), "")
             path.append(path[-1] + "/" + name + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(cls.split())))
         if boiler and not skip:
             flush()
-        stack.append((name, int(boiler), container))
+        # what can be spared: where it starts, and the text and articles before it
+        start = (prose, mains, m.start(), name, bool(_SURE.search(marks))) if boiler and not by_name else None
+        mains += name in ("article", "main")
+        stack.append((name, int(boiler), container, start))
+        opened[name] = opened.get(name, 0) + 1
         skip += boiler
+    close(0)
     if not skip:
         flush()
-    return blocks
+    more = {k for inside, articles, k, name, sure in held if inside and (
+        articles == mains if mains and not (name == "article" and mains > 1) else inside > prose * (0.9 if sure else 0.5))}
+    return blocks, more
 
 
-def _scores(blocks: list[tuple[str, str]]) -> dict[str, float]:
+def _scores(blocks: list[tuple[str, str, bool]]) -> dict[str, float]:
     """Prose below each container path; deeper paths are worth more than what merely wraps them."""
     score: dict[str, float] = {}
-    for path, text in blocks:
+    for path, text, _ in blocks:
         depth, part = path.count("/"), path
         while part:
             back = depth - part.count("/")
@@ -154,11 +212,11 @@ def extract(pages: DataFrame) -> DataFrame:
             out = []
             for page, path in zip(b.column(names.index("html")).to_pylist(), b.column(names.index("__path")).to_pylist()):
                 blocks = _scan(page) if page else []
-                inside = [t for p, t in blocks if p == path or p.startswith((path or "\0") + "/")]
+                inside = [t for p, t, _ in blocks if p == path or p.startswith((path or "\0") + "/")]
                 if not inside and blocks:
                     s = _scores(blocks)
                     own = max(s, key=lambda p: (s[p], p)) if s else ""
-                    inside = [t for p, t in blocks if p == own or p.startswith(own + "/")]
+                    inside = [t for p, t, _ in blocks if p == own or p.startswith(own + "/")]
                 out.append("\n\n".join(inside))
             keep = [i for i, n in enumerate(names) if n != "__path"]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(out, pa.string())],

@@ -35,3 +35,13 @@ def test_implied_end_tags_of_boilerplate(spark):
     assert read(spark, f'<body><nav><ul><li class="nav-item">a<li class="nav-item">b</ul></nav>{article}',
                 f'<body><p class="advert">x<p>y{article}', f'<body><p class="advert">x<div>y</div>{article}',
                 f'<body><table><tr><td class="menu">m<tr><td>n</table>{article}') == ["One\n\nTwo\n\na\n\nb"] * 4
+
+
+def test_class_rules_spare_what_holds_the_article(spark):
+    text = "<p>" + "word " * 40 + "</p>"
+    want = [("word " * 40).strip()]
+    assert read(spark, f'<body><main class="content with-sidebar">{text}</main><div class="sidebar"><p>s</p></div>') == want
+    assert read(spark, f'<body><article class="post has-comments">{text}<div class="comments"><p>c</p></div></article>') == want
+    assert read(spark, f'<body><form><div class="page-header-wrapper">{text}</div><div class="sidebar"><p>s</p></div></form>') == want
+    assert read(spark, f'<body><article>{text}</article><div id="comments"><article class="comment">{text * 3}</article></div>') == want
+    assert read(spark, f'<body><article><svg class=a />{text}</article><iframe src="a"/><title>t') == want
