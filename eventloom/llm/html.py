@@ -1,17 +1,19 @@
 """Main text of pages by paths that the pages of a host agree on.
 
 Every page scores its containers by the prose they hold. Spark adds the scores up by host and
-generalised path (tags and classes from the root), the best path of each host wins, and each
-page is read again at its host's path; a page without that path uses its own best container.
+generalised path (tags and classes from the root) and the best path of each host wins. From there
+the host's path climbs over whatever adds only headings and paragraphs that do not repeat from page
+to page, and each page is read again below it; a page without that path uses its own best container.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import small_side
@@ -41,6 +43,8 @@ _MODIFIER = re.compile(r"(?:^|[_-])(?:with|without|no|not|has|have)[_-]", re.I)
 _TEASER = re.compile(r"(?:^|\s)(?:comments?|comment[_-]\w+|related[\w-]*|ads?|advert\w*|promo\w*|sponsor\w*)(?:$|\s)", re.I)
 _SURE = re.compile(_TEASER.pattern[:-len(r")(?:$|\s)")] + r"|cookie[\w-]*|consent|newsletter|subscribe|share|social|sidebar|nav\w*|menu)(?:$|\s)", re.I)
 _SELF = re.compile(r"(?:^|[\s\"'])/$")
+#: A host's pages outvote blocks that only one page in so many has.
+ODD = 100
 _SPACE = re.compile(r"\s+")
 
 
@@ -180,6 +184,26 @@ def _scores(blocks: list[tuple[str, str, bool]]) -> dict[str, float]:
     return score
 
 
+def _code(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _under(path: str, top: str) -> bool:
+    return path == top or path.startswith(top + "/")
+
+
+def _around(blocks: list[tuple[str, str, bool]], best: str) -> set[tuple[str, int | None]]:
+    """What lies outside ``best``: the nearest path above both and the block's text code, None if no heading or paragraph."""
+    found = set()
+    for path, text, prose in blocks:
+        if not _under(path, best):
+            top = best
+            while not _under(path, top):
+                top = top.rpartition("/")[0]
+            found.add((top, _code(text) if prose else None))
+    return found
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text``: the main text, blocks joined by an empty line; empty for null or textless html.
 
@@ -191,18 +215,36 @@ def extract(pages: DataFrame) -> DataFrame:
     def vote(batches) -> Iterator:
         import pyarrow as pa
         for b in batches:
-            total: dict[tuple[str, str], float] = {}
+            total: dict[tuple, list[int]] = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = _scores(_scan(page)) if page else {}
+                blocks = _scan(page) if page else []
+                s = _scores(blocks)
                 if s:
                     best = max(s, key=lambda p: (s[p], p))
-                    total[host, best] = total.get((host, best), 0.0) + 1.0
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()),
-                                              pa.array(list(total.values()), pa.float64())], ["__host", "path", "votes"])
+                    main = _code("\n".join(t for p, t, _ in blocks if _under(p, best)))
+                    for above, code in [(None, None), *_around(blocks, best)]:
+                        row = total.setdefault((host, best, above, code), [0, main, main])
+                        row[0] += 1
+                        row[1], row[2] = min(row[1], main), max(row[2], main)
+            columns = [*zip(*total)] or [()] * 4, [*zip(*total.values())] or [()] * 3
+            kinds = [pa.string()] * 3 + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip([*columns[0], *columns[1]], kinds)],
+                                             ["__host", "path", "above", "code", "votes", "lo", "hi"])
 
-    votes = hosted.select("__host", "html").mapInArrow(vote, "__host string, path string, votes double")
-    winners = cut_lineage(votes.groupBy("__host", "path").agg(F.sum("votes").alias("votes"))
-                          .groupBy("__host").agg(F.max(F.struct("votes", "path"))["path"].alias("__path")))
+    seen = hosted.select("__host", "html").mapInArrow(vote, "__host string, path string, above string, code long, votes long, lo long, hi long")
+    seen = cut_lineage(seen.groupBy("__host", "path", "above", "code").agg(
+        F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    best = cut_lineage(seen.where("above is null").groupBy("__host").agg(F.max(F.struct("votes", "path")).alias("w"))
+                       .select("__host", F.col("w.path").alias("path"), F.col("w.votes").alias("pages")))
+    # other blocks on more than a hundredth of the pages, or one text on most of several, stop the climb
+    other = F.sum(F.when(F.col("code").isNull(), F.col("votes"))) * ODD > F.max("pages")
+    again = F.max(F.col("code").isNotNull() & (F.col("votes") * 2 > F.col("pages")) & (F.col("lo") < F.col("hi")))
+    levels = seen.where("above is not null").join(small_side(best), ["__host", "path"]).groupBy("__host", "above").agg(
+        (F.coalesce(other, F.lit(False)) | again).alias("stop"))
+    upward = Window.partitionBy("__host").orderBy(F.length("above").desc())
+    tops = (levels.withColumn("stopped", F.max("stop").over(upward)).where(~F.col("stopped")).groupBy("__host")
+            .agg(F.min_by("above", F.length("above")).alias("__top")))
+    winners = cut_lineage(best.join(tops, "__host", "left").select("__host", F.col("path").alias("__path"), F.coalesce("__top", "path").alias("__top")))
     joined = hosted.join(small_side(winners), "__host", "left").drop("__host")
 
     def read(batches) -> Iterator:
@@ -210,20 +252,18 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             names = b.schema.names
             out = []
-            for page, path in zip(b.column(names.index("html")).to_pylist(), b.column(names.index("__path")).to_pylist()):
+            for page, path, top in zip(*(b.column(names.index(n)).to_pylist() for n in ("html", "__path", "__top"))):
                 blocks = _scan(page) if page else []
-                inside = [t for p, t, _ in blocks if p == path or p.startswith((path or "\0") + "/")]
-                if not inside and blocks:
+                if blocks and (path is None or not any(_under(p, path) for p, _, _ in blocks)):
                     s = _scores(blocks)
-                    own = max(s, key=lambda p: (s[p], p)) if s else ""
-                    inside = [t for p, t, _ in blocks if p == own or p.startswith(own + "/")]
-                out.append("\n\n".join(inside))
-            keep = [i for i, n in enumerate(names) if n != "__path"]
+                    top = max(s, key=lambda p: (s[p], p)) if s else ""
+                out.append("\n\n".join(t for p, t, _ in blocks if _under(p, top)))
+            keep = [i for i, n in enumerate(names) if n not in ("__path", "__top")]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(out, pa.string())],
                                              [*[names[i] for i in keep], "text"])
 
     from pyspark.sql import types as T
-    schema = T.StructType([*joined.drop("__path").schema.fields, T.StructField("text", T.StringType())])
+    schema = T.StructType([*joined.drop("__path", "__top").schema.fields, T.StructField("text", T.StringType())])
     return joined.mapInArrow(read, schema)
 
 

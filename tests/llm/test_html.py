@@ -45,3 +45,15 @@ def test_class_rules_spare_what_holds_the_article(spark):
     assert read(spark, f'<body><form><div class="page-header-wrapper">{text}</div><div class="sidebar"><p>s</p></div></form>') == want
     assert read(spark, f'<body><article>{text}</article><div id="comments"><article class="comment">{text * 3}</article></div>') == want
     assert read(spark, f'<body><article><svg class=a />{text}</article><iframe src="a"/><title>t') == want
+
+
+def test_title_and_lead_outside_the_text_container(spark):
+    post = '<body><nav>n</nav><div class="post"><h1>T{0}</h1><p>lead{0}</p><div class="text"><p>' + "long{0} " * 80 + "</p></div></div><div>by me</div>"
+    pages = [post.replace("{0}", str(i)) for i in range(4)]
+    assert read(spark, *pages) == [f"T{i}\n\nlead{i}\n\n" + (f"long{i} " * 80).strip() for i in range(4)]
+    page = "<body><main><h1>T</h1><article><p>" + "long " * 80 + "</p></article></main>"
+    assert read(spark, page, page, host="http://b/") == ["T\n\n" + ("long " * 80).strip()] * 2
+    # one text on every page is boilerplate, a list is no paragraph
+    same = [p.replace("<h1>", "<p>All about us</p><h1>") for p in pages]
+    assert read(spark, *same, host="http://c/") == [(f"long{i} " * 80).strip() for i in range(4)]
+    assert "item" not in "".join(read(spark, *[p.replace("<h1>", "<ul><li>item</ul><h1>") for p in pages]))
