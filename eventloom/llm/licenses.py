@@ -48,27 +48,45 @@ RULES = [
 ]
 
 
+# The clause that makes two-clause BSD three-clause; it names the holder.
+BSD3_CLAUSE = ("neither the names? of [a-z0-9 ]{1,120}?(?:n?or|and) the names of (?:(?:its|their|the|any|other) )*contributors may be used to endorse or promote "
+               "products derived from this software without (?:specific )?prior written permission")
+BSD3 = "BSDgrant,BSDsource,BSDbinary,BSDname,"
+# What may not follow a sentence: MIT-0 and others of that name, and version 2.1 after 2.
+UNLIKE = {"spdx license identifier mit": "0|cmu|feh|modern|advertising|enna|festival|wu",
+          "licensed under the gnu general public license version 2": "[1-9]"}
+CUE = "licens|copyright|permi|warrant|rights reserved|redistribution"
+
+
 def identifiers(text: str = "text") -> Column:
     """The known sentences of a text, as identifiers in text order.
 
-    A sentence ends at a line break or at ``.``, ``!``, ``?`` or ``;`` before white space. Only sentences with
-    a cue word of the table are normalised; every sentence of the table has one.
+    Texts with a cue word of the table are normalised: comment marks and other signs become spaces, so do single
+    line breaks; a blank line, and ``.``, ``!``, ``?`` or ``;`` before white space, stay as ``|``. A known sentence
+    is found as a run of whole words between two of these, wrapped or not and whatever stands around it, except
+    behind ``not``; the one that starts first counts, of these the longest.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    lines = F.split(F.regexp_replace(F.lower(F.col(text)), r"([.!?;])[ \t\r\n]+", "$1\n"), "\n")
-    cue = F.filter(lines, lambda s: s.rlike("licens|copyright|permi|warrant|rights reserved|redistribution"))
-    plain = F.transform(cue, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.coalesce(F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()),
-                      F.array().cast("array<string>"))
+    each = [s + (f"(?! (?:{UNLIKE[s]}) )" if s in UNLIKE else "") for s in sorted(SENTENCES, key=len, reverse=True)]
+    pattern = f"(?<= )(?<! not )(?:{'|'.join([BSD3_CLAUSE, *each])})(?= )"
+    ends = F.regexp_replace(F.lower(F.col(text)), r"[.!?;]\s+|\r?\n[^a-z0-9\n]*\n", "\u0001")
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(ends, "[^a-z0-9\u0001]+", " "), " ?\u0001 ?", " | "), F.lit(" "))
+    found = F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+    named = F.transform(found, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("BSDname")))
+    return F.coalesce(F.when(F.lower(F.col(text)).rlike(CUE), named), F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``sentence_ids`` (comma-joined, in order), ``licenses`` (comma-joined, in rule order) and ``n_sentences``.
+    """``docs`` with ``sentence_ids`` (comma-joined, in order), ``licenses`` (comma-joined, in rule order, BSD-3-Clause last) and ``n_sentences``.
 
     Null and empty texts have none of either. Row by row, no shuffle; repeated rows give repeated results.
     """
     ids = F.array_join(F.transform(F.col("__ids"), lambda x: F.concat(x, F.lit(","))), "")
-    found = F.array(*[F.when(F.col("sentence_ids").rlike("(^|,)" + rule), F.lit(name)) for name, rule in RULES])
+    ids_, three = F.col("sentence_ids"), "(^|,)" + BSD3
+    # a three-clause text is not the two-clause licence that it begins with
+    two = F.regexp_replace(ids_, three, "$1")
+    found = F.array(*[F.when((two if name == "BSD-2-Clause" else ids_).rlike("(^|,)" + rule), F.lit(name)) for name, rule in RULES],
+                    F.when(ids_.rlike(three), F.lit("BSD-3-Clause")))
     return (docs.withColumn("__ids", identifiers(text)).withColumn("sentence_ids", ids)
             .withColumn("n_sentences", F.size("__ids").cast("long"))
             .withColumn("licenses", F.array_join(F.array_distinct(F.array_compact(found)), ",")).drop("__ids"))
