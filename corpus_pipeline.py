@@ -14,16 +14,26 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those whose language stays unclear."""
+    """Drops texts without letters and those whose language stays unclear; without labels nothing is unclear."""
     net = langid.train(docs.where(~langid.held_out(3, 1)).select("doc_id", "text", "lang"))
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     return langid.identify(docs, net).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``row`` number of its own for every row, written down, so it stays the same in all later reads."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class; of rows with one id, one."""
-    kept = minhash.near_copies(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Keeps the document with the smallest id of each class, null last; ids name no row, so they may be null or repeated."""
+    rows = numbered(docs)
+    classes = minhash.near_copies(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.md5(F.col("text").cast("binary")).alias("t"), "source", "lang", "row")
+    kept = (classes.join(rows.select("row", order.alias("place")), "row").groupBy("class_id").agg(F.min("place").alias("first"))
+            .select(F.col("first.row").alias("row")))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +43,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as the mix takes it; the one on a source's boundary is cut after the words taken."""
-    taken = mixing.mix(docs).select("doc_id", "size", "epochs", "taken").where("taken > 0").dropDuplicates(["doc_id"])
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
+    rows = numbered(docs)
+    joined = rows.join(mixing.mix(rows, row="row").where("taken > 0").select("row", "size", "taken"), "row")
     whole = F.array_repeat(F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int"))
     rest = F.col("taken") % F.col("size")
     parts = F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))

@@ -71,7 +71,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST,
-        quality: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+        quality: Column | None = None, id_col: str = "doc_id", row: str | None = None) -> DataFrame:
     """``doc_id, source, size, source_size, target, epochs, taken`` for every row of ``docs``.
 
     ``taken`` counts words, repeats included: ``epochs`` times the whole document and, for the
@@ -79,13 +79,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     boundary is taken in part, so each source meets its target to the word.
 
     Null text: size 0, nothing to take. Null source: a source of its own, last. Null or repeated ids
-    share a key and are ordered by the text. Only ids, sources, sizes and keys are kept for the
+    share a key and are ordered by the text. A column named by ``row`` is handed on beside each row. Only ids, sources, sizes and keys are kept for the
     passes after the first; the boundary is found from two histograms of fixed length per source,
     and only the documents of one key range per source are sorted.
     """
     key = -F.log(unit(F.col(id_col))) / (quality if quality is not None else text_quality())
     light = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), F.col("source"), words().alias("size"),
-                                    key.alias("key"), F.xxhash64("text").alias("tie")))
+                                    key.alias("key"), F.xxhash64("text").alias("tie"), *([row] if row else [])))
     # ranges of 1 - exp(-key): even for equal weights, monotonic always
     at = (F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(float(RANGES))
     light = (light.withColumn("r1", F.least(F.floor(at), F.lit(RANGES - 1)).cast("int"))
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     edge = (F.col("r1") == F.col("cut_r1")) & (F.col("r2") == F.col("cut_r2"))
     below = F.col("cut_r1").isNull() | (F.col("r1") < F.col("cut_r1")) | \
         ((F.col("r1") == F.col("cut_r1")) & (F.col("r2") < F.col("cut_r2")))
-    out = ["doc_id", named.alias("source"), "size", "source_size", "target", "epochs"]
+    out = ["doc_id", named.alias("source"), "size", "source_size", "target", "epochs", *([row] if row else [])]
     # no boundary: the rest is 0, or the source has no words; nothing is taken beyond whole epochs then
     plain = (placed.where(~F.coalesce(edge, F.lit(False)))
              .withColumn("part", F.when(F.col("cut_r1").isNotNull() & below, F.col("size")).otherwise(F.lit(0))))
