@@ -3,7 +3,10 @@ operators. Without expiry a replay has to give what the batch operator gives."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from eventloom.operators import recurrent as rec
+from eventloom.operators.log import epoch_ms
 from eventloom.plans.mining import (COUNT_PAIRS, DAY_MS, EVENTS, RULES, events_log, graph_sql, rules_sql)
 from eventloom.plans.registry import query, table
 from eventloom.session import scratch_path
@@ -15,19 +18,22 @@ INTERVAL = 2 * DAY_MS
 NOW_MS = 1_704_067_200_000 + 25 * DAY_MS
 
 
-_RUNS: dict[tuple, FollowsStream] = {}
+def _follows(spark, sf, expire=False, **kw):
+    """A replay of the event table in time order."""
+    events, path = table(spark, sf, "events"), scratch_path(spark, "replay")
+    run = FollowsStream(spark, replay_stream(spark, path, events.schema), "user_id", "event_type", "ts", "event_id", INTERVAL, expire=expire, **kw)
+    replay(events, "ts", path, run.run_available, 2)
+    return run
 
 
-def _follows(spark, sf, expire=False):
-    """One replay per session and table folder; several queries read the tables it leaves."""
-    key = (spark.sparkContext.applicationId, sf, expire)
-    if key not in _RUNS:
-        events, path = table(spark, sf, "events"), scratch_path(spark, "replay")
-        source = replay_stream(spark, path, events.schema)
-        run = FollowsStream(spark, source, "user_id", "event_type", "ts", "event_id", INTERVAL, expire=expire)
-        replay(events, "ts", path, run.run_available)
-        _RUNS[key] = run
-    return _RUNS[key]
+def _out_of_order(spark, sf):
+    """A replay in which every event arrives up to a day late; the stream allows for a day."""
+    events, path = table(spark, sf, "events"), scratch_path(spark, "replay")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(DAY_MS))
+    late = events.withColumn("arrival", epoch_ms(events, "ts") + delay)
+    run = FollowsStream(spark, replay_stream(spark, path, late.schema), "user_id", "event_type", "ts", "event_id", INTERVAL, expire=True, lateness_ms=DAY_MS)
+    replay(late, "arrival", path, run.run_available, 2)
+    return run.close()
 
 
 LAG = f"SELECT *, lag(t) OVER (PARTITION BY c ORDER BY t, k) pt, lag(l) OVER (PARTITION BY c ORDER BY t, k) pl FROM ({EVENTS})"
@@ -48,6 +54,18 @@ query("stream_starts_with_expiry", f"""SELECT c AS caseid, l AS event_label, t +
 WHERE pt IS NULL OR t >= pt + {INTERVAL}""")(lambda s, d: _follows(s, d, expire=True).starts())
 
 
+query("stream_out_of_order_relation", COUNT_PAIRS.format(f"SELECT * FROM ({PAIRS}) WHERE delete_time_s < delete_time_p + {INTERVAL}"))(
+    lambda s, d: _out_of_order(s, d).relation())
+query("stream_out_of_order_starts", f"""SELECT c AS caseid, l AS event_label, t + {INTERVAL} AS delete_time FROM ({LAG})
+WHERE pt IS NULL OR t >= pt + {INTERVAL}""")(lambda s, d: _out_of_order(s, d).starts())
+query("stream_out_of_order_graph", f"""
+WITH w AS (SELECT l, t, pl, pt, lead(t) OVER (PARTITION BY c ORDER BY t, k) nt FROM ({LAG})),
+e AS (SELECT pl p, l s FROM w WHERE t < pt + {INTERVAL} UNION ALL SELECT 'START', l FROM w WHERE pt IS NULL OR t >= pt + {INTERVAL}
+UNION ALL SELECT l, 'END' FROM w WHERE nt IS NULL OR nt >= t + {INTERVAL})
+SELECT p AS event_label_p, s AS event_label_s, CAST(count(*) AS BIGINT) AS frequency FROM e GROUP BY 1, 2""")(
+    lambda s, d: _out_of_order(s, d).graph())
+
+
 @query("stream_rule_violations", rules_sql(EVENTS, RULES))
 def _(spark, sf):
     events, path = table(spark, sf, "events"), scratch_path(spark, "replay")

@@ -5,7 +5,9 @@ from eventloom.operators.dfg import dfg
 from eventloom.operators.log import as_log
 from eventloom.operators.rules import Rule, check_rules
 from eventloom.session import scratch_path
+from eventloom.streaming import maintained
 from eventloom.streaming.conformance import ConformanceStream
+from eventloom.streaming.maintained import Counts
 from eventloom.streaming.recurrent import FollowsStream, sliding_counts
 from eventloom.streaming.replay import replay, replay_stream
 
@@ -54,6 +56,67 @@ def test_late_event_counts_as_newest(spark):
     assert bag(run.snapshot().dfr) == [("A", "B", 1)]
 
 
+def out_of_order(rows, shift):
+    """The rows with the time they arrive, up to ``shift`` ms late."""
+    return [(c, l, t, k, t + (k * 7919) % (shift + 1)) for c, l, t, k in rows]
+
+
+def test_out_of_order_with_expiry_and_a_restart(spark):
+    """Each micro-batch meets a stream object of its own, as after a restart; the result is that of events in order."""
+    rows = [((i * 31) % 5 or None, "ABCD"[i * i % 4], i * 700, i) for i in range(60)]
+    late, path, root = out_of_order(rows, 3000), scratch_path(spark, "late"), scratch_path(spark, "root")
+    df = spark.createDataFrame(late, SCHEMA + ", arrival bigint")
+    make = lambda: FollowsStream(spark, replay_stream(spark, path, df.schema), "c", "l", "t", "k", 4000, expire=True, root=root, lateness_ms=3000)
+    replay(df, "arrival", path, lambda: make().run_available(), 4)
+    run = make().close()
+    batch = rec.bootstrap(as_log(df, "c", "l", "t", "k"), 4000)
+    live = [r for r in bag(batch.to_delete_event) if r[4] < r[3] + 4000]
+    assert bag(run.pairs()) == live and run.too_late().count() == 0
+    assert sum(r[2] for r in bag(run.relation())) == len(live)
+    assert bag(run.last_events()) == bag(batch.last_event)
+    # every sequence is closed once and opened once
+    graph = bag(run.graph())
+    assert sum(n for p, _, n in graph if p == "START") == sum(n for _, s, n in graph if s == "END") == run.starts().count() == 60 - len(live)
+    # what is dead goes, what lives stays, and the counts do not change
+    before, now = bag(run.relation()), 40_000
+    alive = bag(run.snapshot(now).to_delete_event)
+    assert run.vacuum(now) > 0 and bag(run.snapshot(now).to_delete_event) == alive and bag(run.relation()) == before
+
+
+def test_events_behind_the_clock_are_set_apart(spark):
+    path = scratch_path(spark, "late")
+    df = spark.createDataFrame(ROWS[:1], SCHEMA)
+    run = FollowsStream(spark, replay_stream(spark, path, df.schema), "c", "l", "t", "k", 7000, lateness_ms=1000)
+    for i, rows in enumerate([[(1, "A", 5000, 0), (1, "B", 5500, 1)], [(1, "C", 9000, 2), (1, "X", 4400, 3), (1, "D", 4600, 4)], []]):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/slice={i}")
+        run.run_available()
+    run.close()
+    assert bag(run.relation()) == [("A", "B", 1), ("B", "C", 1), ("D", "A", 1)]
+    assert [(r.label, r.ms) for r in run.too_late().collect()] == [("X", 4400)]
+
+
+def test_late_event_with_expiry_in_arrival_order(spark):
+    path = scratch_path(spark, "late")
+    df = spark.createDataFrame(ROWS[:1], SCHEMA)
+    run = FollowsStream(spark, replay_stream(spark, path, df.schema), "c", "l", "t", "k", 7000, expire=True)
+    for i, row in enumerate([(1, "A", 50_000, 0), (1, "B", 3000, 1), (1, "C", 4000, 2), (1, "D", 90_000, 3)]):
+        spark.createDataFrame([row], SCHEMA).write.parquet(f"{path}/slice={i}")
+        run.run_available()
+    # once B is taken as the newest it is already out of the window
+    assert bag(run.relation()) == [("A", "B", 1)] and sorted(r.event_label for r in run.starts().collect()) == ["A", "C", "D"]
+
+
+def test_counts_read_a_bounded_number_of_folders(spark, monkeypatch):
+    monkeypatch.setattr(maintained, "FAN", 2)
+    counts = Counts(spark, scratch_path(spark, "counts"), spark.createDataFrame([], "k string").schema)
+    most = 0
+    for batch in range(8):
+        for _ in range(1 + batch % 2):  # every other micro-batch is replayed
+            counts.add(batch, spark.createDataFrame([("a", 1), (None, 2), ("b", 1), ("b", -1)], "k string, n bigint").coalesce(1))
+        most = max(most, counts.folders())
+    assert most <= 3 and bag(counts.read()) == [("a", 8), (None, 16)]
+
+
 def test_rules_across_micro_batches(spark):
     df, path = spark.createDataFrame([(1, "A", 1, 0), (1, "B", 2, 1), (1, "X", 3, 2), (1, "B", 4, 3), (1, "B", 9, 4), (None, "B", 9, 5)], SCHEMA), scratch_path(spark, "r")
     rules = [Rule(7, ["A"], ["B"], {"B": 0}), Rule(8, ["A"], ["B"], {"B": 0}, 1)]
