@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.dfg import dfg
-from eventloom.operators.sequence import hot_cases, split_hot, with_slice
+from eventloom.operators.sequence import Hot, hot_cases, split_hot, with_parts
 
 # The measure names of the relation.
 OCCURRENCE = "OCCURRENCE"
@@ -81,7 +81,7 @@ def _hot_cases(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("case", "slice").orderBy("ms", "tie")
     # Place in the case as one number: the slice, then the place within it.
     at = F.shiftleft("slice", 32) + F.row_number().over(w)
-    events = with_slice(log).repartition("case", "slice").select("case", "slice", "label", at.alias("at"))
+    events = with_parts(log, ["case", "ms", "tie"]).repartition("case", "slice").select("case", "slice", "label", at.alias("at"))
     # The label spans are laid out per slice, so that the wide join has the key (case, slice).
     per_slice = events.select("case", "slice").distinct().join(_spans(events), "case")
     rows = _beside_labels(events, per_slice, ["case", "slice"])
@@ -146,7 +146,7 @@ def _columns_hot(log: DataFrame, labels: list[str]) -> DataFrame:
     """As above inside time slices; what earlier slices and the whole case add comes from one row per slice."""
     w = Window.partitionBy("case", "slice").orderBy("ms", "tie")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    events = with_slice(log).repartition("case", "slice").withColumn("at", F.shiftleft("slice", 32) + F.row_number().over(w))
+    events = with_parts(log, ["case", "ms", "tie"]).repartition("case", "slice").withColumn("at", F.shiftleft("slice", 32) + F.row_number().over(w))
     here, n = _at_label(labels), range(len(labels))
     ends = events.groupBy("case", "slice").agg(*[F.min(c).alias(f"lo{j}") for j, c in enumerate(here)],
                                                *[F.max(c).alias(f"hi{j}") for j, c in enumerate(here)])
@@ -160,7 +160,7 @@ def _columns_hot(log: DataFrame, labels: list[str]) -> DataFrame:
         "label", "at", *[F.greatest(f"q{j}", f"c{j}").alias(f"p{j}") for j in n], *[f"f{j}" for j in n], *[f"l{j}" for j in n])
 
 
-def _pair_counts(log: DataFrame, hot: Sequence[int]) -> DataFrame:
+def _pair_counts(log: DataFrame, hot: Hot) -> DataFrame:
     """Per (x, y): shared events, and the four counts that depend on places."""
     cold, warm = split_hot(log, hot)
     labels = _alphabet(log)
@@ -176,7 +176,7 @@ def _pair_counts(log: DataFrame, hot: Sequence[int]) -> DataFrame:
     return rows.groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in ("co", "nf", "np", "rp", "rb")])
 
 
-def controller(log: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
+def controller(log: DataFrame, hot: Hot = None) -> DataFrame:
     """``type, event_label_p, event_label_s, frequency``."""
     log = log.filter(F.col("label").isNotNull())
     hot = hot_cases(log) if hot is None else hot

@@ -11,14 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.sequence import followers, neighbours, neighbours_hot, split_hot
+from eventloom.operators.sequence import Hot, followers, neighbours, neighbours_hot, split_hot
 
 # The pseudo-labels of the relation.
 START, END = "START", "END"
 
 
 def dfg(log: DataFrame, with_endpoints: bool = True, start_for_singletons: bool = True,
-        start: str = START, end: str = END, hot: Sequence[int] | None = None) -> DataFrame:
+        start: str = START, end: str = END, hot: Hot = None) -> DataFrame:
     """``event_label_p, event_label_s, frequency``.
 
     ``start_for_singletons=False`` gives the variant in which a case of one event has an

@@ -14,10 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.sequence import neighbours_hot, neighbours_ordinary, split_hot
+from eventloom.operators.sequence import Hot, neighbours_hot, neighbours_ordinary, split_hot
 
 
-def _batch_pairs(log: DataFrame, hot: Sequence[int] | None) -> DataFrame:
+def _batch_pairs(log: DataFrame, hot: Hot) -> DataFrame:
     """One row per antecedent label x consequent label x neighbouring batches of a case."""
     cold, warm = split_hot(log, hot)
     count = lambda df: df.groupBy("case", "ms", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -32,14 +32,14 @@ def _batch_pairs(log: DataFrame, hot: Sequence[int] | None) -> DataFrame:
                  .select("p", F.explode("s").alias("s")))
 
 
-def weakly_follows(log: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
+def weakly_follows(log: DataFrame, hot: Hot = None) -> DataFrame:
     """The set of pairs: ``event_label_p, event_label_s``."""
     return (_batch_pairs(log, hot)
             .select(F.col("p.label").alias("event_label_p"), F.col("s.label").alias("event_label_s"))
             .distinct())
 
 
-def directly_follows(log: DataFrame, hot: Sequence[int] | None = None) -> DataFrame:
+def directly_follows(log: DataFrame, hot: Hot = None) -> DataFrame:
     """The bag of pairs: every antecedent x consequent combination counts one."""
     return (_batch_pairs(log, hot)
             .groupBy(F.col("p.label").alias("event_label_p"), F.col("s.label").alias("event_label_s"))

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.sequence import neighbours
+from eventloom.operators.sequence import Hot, neighbours
 
 
 class Recurrent(NamedTuple):
@@ -38,7 +38,7 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 
 
 def bootstrap(log: DataFrame, interval_ms: int, from_ms: int | None = None, to_ms: int | None = None,
-              hot: Sequence[int] | None = None) -> Recurrent:
+              hot: Hot = None) -> Recurrent:
     """The four tables of a first load over the period."""
     log = between(log, from_ms, to_ms)
     steps = neighbours(log, F.struct("label", "ms"), hot=hot)

@@ -14,10 +14,10 @@ from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.sequence import hot_cases, positions, running_total
+from eventloom.operators.sequence import EVENT_ORDER, Hot, split_hot, with_parts
 
 
 @dataclass(frozen=True)
@@ -68,36 +68,65 @@ def rules_from_text(rules: str, token_rules: str, labels: str, rules_of_label: s
     return out
 
 
-def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    """One row per (rule, label it reacts to). A local relation, so its size is known to the optimizer."""
-    rows = []
-    for i, r in enumerate(rules):
-        deltas = r.deltas()
-        for label in sorted(set(deltas) | set(r.attached)):
-            rows.append((i, r.rule_id, r.kind, r.token or 0, label, deltas.get(label, 0), r.attached.get(label)))
-    return spark.createDataFrame(rows, "rule int, rule_id int, kind int, token int, label string, delta int, place int")
+def _effect(rule: Rule) -> Column:
+    """What an event adds to the rule's balance."""
+    by_label = [F.when(F.col("label") == label, F.lit(d).cast("bigint")) for label, d in sorted(rule.deltas().items()) if d]
+    return F.coalesce(*by_label, F.lit(0).cast("bigint"))
+
+
+def _sums(rules: Sequence[Rule], keys: Sequence[str]) -> list[Column]:
+    """Position and balances, each as a running sum in one window."""
+    w = Window.partitionBy(*keys).orderBy(*EVENT_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return [F.count(F.lit(1)).over(w).alias("n"), *[F.sum(_effect(r)).over(w).alias(f"b{i}") for i, r in enumerate(rules)]]
 
 
-def rule_balances(log: DataFrame, rules: Iterable[Rule], hot: Sequence[int] | None = None) -> DataFrame:
-    """``left - right`` of every rule at every event it is attached to (the token not added)."""
-    hot = hot_cases(log) if hot is None else hot
-    touched = positions(log, hot=hot).join(rule_table(log.sparkSession, rules), "label")
-    balance = running_total(touched, F.col("delta").cast("bigint"), "balance", keys=("case", "rule"), hot=hot)
-    return (balance.filter(F.col("place").isNotNull())
-            .select("case", "idx", "rule", "kind", "place", "rule_id", "token", "balance"))
+def totals(log: DataFrame, rules: Sequence[Rule], *keys: str) -> DataFrame:
+    """``events`` and ``totals`` (one balance per rule) of each group of ``keys``; combined on the map side."""
+    return log.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.array(*[F.sum(_effect(r)) for r in rules]).cast("array<bigint>").alias("totals"))
 
 
-def first_violations(balances: DataFrame) -> DataFrame:
-    """Of each event the rule that is reported, of each (case, rule) the first event."""
-    failed = balances.filter(F.col("balance") + F.col("token") < 0)
-    reported = failed.groupBy("case", "idx").agg(F.min(F.struct("kind", "place", "rule_id")).alias("r"))
-    return (reported.groupBy(F.col("case.id").alias("case_id"), F.col("r.rule_id").alias("rule_id"))
-            .agg(F.min("idx").alias("idx")).select("case_id", "idx", "rule_id"))
+def rule_states(log: DataFrame, rules: Iterable[Rule], hot: Hot = None) -> DataFrame:
+    """``case, label, idx, balances``: for each event its 0-based place in the case, and ``left - right`` of every rule after it.
+
+    One shuffle by case: the window that numbers the events sums all rules. Large cases are summed in parts, and the
+    totals of earlier parts, one row each, are added.
+    """
+    rules = list(rules)
+    cold, warm = split_hot(log, hot)
+    balances = [F.col(f"b{i}") for i in range(len(rules))]
+    out = (cold.repartition("case").select("case", "label", *_sums(rules, ["case"]))
+           .select("case", "label", (F.col("n") - 1).alias("idx"), F.array(*balances).cast("array<bigint>").alias("balances")))
+    if warm is None:
+        return out
+    parts = with_parts(warm, ["case", *EVENT_ORDER]).repartition("case", "slice")
+    earlier = Window.partitionBy("case").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals(parts, rules, "case", "slice").select(
+        "case", "slice", F.coalesce(F.sum("events").over(earlier), F.lit(0)).alias("n0"),
+        *[F.coalesce(F.sum(F.col("totals")[i]).over(earlier), F.lit(0)).alias(f"c{i}") for i in range(len(rules))])
+    summed = parts.select("case", "slice", "label", *_sums(rules, ["case", "slice"])).join(before, ["case", "slice"])
+    return out.unionByName(summed.select(
+        "case", "label", (F.col("n") + F.col("n0") - 1).alias("idx"),
+        F.array(*[F.col(f"b{i}") + F.col(f"c{i}") for i in range(len(rules))]).cast("array<bigint>").alias("balances")))
+
+
+def reported(states: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """``case, idx, rule_id``: at each event the one violation that is reported, decided within the row."""
+    tried = []
+    for i, r in enumerate(rules):
+        for label, place in r.attached.items():
+            bad = (F.col("label") == label) & (F.col("balances")[i] + (r.token or 0) < 0)
+            tried.append(F.when(bad, F.struct(F.lit(r.kind).alias("kind"), F.lit(place).alias("place"), F.lit(r.rule_id).alias("rule_id"))))
+    if not tried:
+        return states.select("case", "idx", F.lit(0).alias("rule_id")).limit(0)
+    first = F.array_min(F.filter(F.array(*tried), lambda t: t.isNotNull()))
+    return states.select("case", "idx", first.alias("r")).where(F.col("r").isNotNull()).select("case", "idx", F.col("r.rule_id").alias("rule_id"))
 
 
-def check_rules(log: DataFrame, rules: Iterable[Rule], hot: Sequence[int] | None = None) -> DataFrame:
+def check_rules(log: DataFrame, rules: Iterable[Rule], hot: Hot = None) -> DataFrame:
     """``case_id, idx, rule_id``: the first violation of each rule in each case."""
-    return first_violations(rule_balances(log, rules, hot))
+    rules = list(rules)
+    return (reported(rule_states(log, rules, hot), rules).groupBy("case", "rule_id").agg(F.min("idx").alias("idx"))
+            .select(F.col("case.id").alias("case_id"), "idx", "rule_id"))
 
 
 def occurrence_matrix(log: DataFrame, labels: Sequence[str]) -> DataFrame:

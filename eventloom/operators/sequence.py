@@ -1,64 +1,80 @@
 """Order-dependent building blocks that survive a case of any size.
 
 Cases of ordinary size are handled by a window over the case: one shuffle. A case that
-holds a large share of the log would put all its rows into one task that way, so cases
-that are seen to be hot take a second route on two levels: first inside (case, time
-slice), then across the slices of a case, of which there is one summary row each.
-
-Which cases are hot is estimated from a sample of the case column. The estimate decides
-the route only: both give the same rows, and every row takes one of them. Slices are a
-fixed function of the timestamp, and the hot cases are constants of the plan, so a
-recomputed task always sees the same cut.
+holds a large share of the log would put all its rows into one task that way, so large cases
+take a second route, a prefix scan: their events are range-partitioned in the order of (case, time, tie),
+so every part holds about the same number however dense the time is; each part is worked on alone and
+leaves one carry row per case; the carry rows are stitched in the order of the parts.
+
+Which cases are large is counted, not estimated. The counting is cheap where there is none: rows are first
+counted by a hash of the case, combined on the map side, and a hash with few rows holds no large case.
+Both routes give the same rows, and every row takes one of them. The parts are written down before
+they are used, so a recomputed task always sees the same cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import cut_lineage
+
 EVENT_ORDER = ("ms", "tie")
 
-#: Width of a time slice. It bounds both levels of the hot route: a task sees the events of
-#: one case within one slice, or the slices of one case (ten million for a century).
-SLICE_MS = 300_000
-#: A case is hot from about this many rows on.
-HOT_ROWS = 1_000_000
-#: Share of the case column that is looked at.
-SAMPLE = 0.001
-#: Hottest cases kept in the plan; a case behind that many larger ones is a small share.
-MAX_HOT = 10_000
+#: A case is large from this many rows on; parts of large cases have about PART_ROWS. Both set the route, never the result.
+LARGE_ROWS = 1_000_000
+PART_ROWS = 250_000
+#: Hashes that rows are counted by first.
+HASHES = 1 << 16
+#: Large cases up to which their list is sent to every task; a longer one is joined by key.
+SENT_CASES = 100_000
 
 
-def hot_cases(df: DataFrame, by: Sequence[str] = ("case",), rows: int | None = None, sample: float | None = None) -> list[int]:
-    """Hashes of the groups of about ``rows`` rows or more. Runs a job over the grouping columns only.
+class Large(NamedTuple):
+    """The large cases of a log."""
+    keys: DataFrame
+    sent: bool
 
-    Two groups with the same hash are merely both treated as hot.
-    """
-    rows, sample = rows or HOT_ROWS, sample or SAMPLE
-    seen = df.select(F.xxhash64(*by).alias("h"))
-    if sample < 1:
-        seen = seen.sample(sample, seed=17)
-    counted = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(1, int(rows * sample)))
-    return [r.h for r in counted.orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()]
+
+#: What callers pass on: the large cases, an empty list for none, or None to have them counted.
+Hot = Large | Sequence | None
+
+
+def hot_cases(df: DataFrame, by: Sequence[str] = ("case",), rows: int | None = None) -> Large | list:
+    """The groups of at least ``rows`` rows, as a table of ``by``; an empty list if there are none."""
+    rows, by = rows or LARGE_ROWS, list(by)
+    h = F.pmod(F.xxhash64(*by), F.lit(HASHES))
+    full = [r.h for r in df.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rows).select("h").collect()]
+    if not full:
+        return []
+    some = df if len(full) > 1000 else df.filter(h.isin(full))
+    keys = cut_lineage(some.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rows).select(F.struct(*by).alias("__k")))
+    count = keys.count()
+    return Large(keys, count <= SENT_CASES) if count else []
 
 
-def split_hot(df: DataFrame, hot: Sequence[int] | None = None, by: Sequence[str] = ("case",)) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of ordinary groups, and those of hot groups if there are any."""
+def split_hot(df: DataFrame, hot: Hot = None, by: Sequence[str] = ("case",)) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary groups, and those of large groups if there are any."""
     hot = hot_cases(df, by) if hot is None else hot
-    if not hot:
+    if not isinstance(hot, Large):
         return df, None
-    flag = F.xxhash64(*by).isin(list(hot))
-    return df.filter(~flag), df.filter(flag)
+    # the keys are fields of a struct, so that a NULL key equals itself
+    keys = F.broadcast(hot.keys) if hot.sent else hot.keys
+    keyed = df.withColumn("__k", F.struct(*by))
+    return keyed.join(keys, "__k", "left_anti").drop("__k"), keyed.join(keys, "__k", "left_semi").drop("__k")
 
 
-def with_slice(df: DataFrame, slice_ms: int | None = None) -> DataFrame:
-    return df.withColumn("slice", F.floor(F.col("ms") / F.lit(slice_ms or SLICE_MS)))
+def with_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` cut into parts of about PART_ROWS along ``order``: ``slice`` rises with it. Written down."""
+    parts = max(1, -(-df.count() // PART_ROWS))
+    return cut_lineage(df.repartitionByRange(parts, *order).withColumn("slice", F.spark_partition_id().cast("bigint")))
 
 
 def neighbours(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
-               endpoints: bool = False, hot: Sequence[int] | None = None, batch_of: Column | None = None) -> DataFrame:
+               endpoints: bool = False, hot: Hot = None, batch_of: Column | None = None) -> DataFrame:
     """Adjacent rows of every group: ``keys, prev.v, next.v``.
 
     With ``endpoints`` the first row of a group also appears with a NULL ``prev`` and the last
@@ -87,7 +103,7 @@ def neighbours_ordinary(df: DataFrame, payload: Column, keys: Sequence[str] = ("
 def neighbours_hot(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
                    endpoints: bool = False, batch_of: Column | None = None) -> DataFrame:
     keys = list(keys)
-    sliced = with_slice(df).repartition(*keys, "slice")
+    sliced = with_parts(df, [*keys, *order]).repartition(*keys, "slice")
     return _sliced(_within(sliced, payload, [*keys, "slice"], order, batch_of), keys, endpoints)
 
 
@@ -138,12 +154,12 @@ def _sliced(rows: DataFrame, keys: list[str], endpoints: bool) -> DataFrame:
 
 
 def running_total(df: DataFrame, value: Column, out: str, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
-                  exclusive: bool = False, hot: Sequence[int] | None = None, by: Sequence[str] = ("case",)) -> DataFrame:
+                  exclusive: bool = False, hot: Hot = None, by: Sequence[str] = ("case",)) -> DataFrame:
     """Running sum per group of ``keys``, added to every row as ``out``. ``by`` are the keys that
     may be hot, and that the rows are partitioned on.
 
-    Hot route: the sum inside the slice, plus the totals of earlier slices of the group. The
-    join of the two has the key (keys, slice), so no group gathers in one task.
+    Second route: the sum inside the part, plus the totals of earlier parts of the group. The
+    join of the two has the key (keys, part), so no group gathers in one task.
     """
     keys, by = list(keys), list(by)
     until = lambda k: Window.partitionBy(*k).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -152,7 +168,7 @@ def running_total(df: DataFrame, value: Column, out: str, keys: Sequence[str] =
     res = cold.repartition(*by).withColumn(out, F.sum("__v").over(until(keys)) - less).drop("__v")
     if warm is None:
         return res
-    parts = with_slice(warm).repartition(*by, "slice")
+    parts = with_parts(warm, [*by, *order]).repartition(*by, "slice")
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = (parts.groupBy(*keys, "slice").agg(F.sum("__v").alias("__t"))
               .select(*keys, "slice", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before")))
@@ -161,6 +177,6 @@ def running_total(df: DataFrame, value: Column, out: str, keys: Sequence[str] =
     return res.unionByName(summed)
 
 
-def positions(df: DataFrame, out: str = "idx", hot: Sequence[int] | None = None) -> DataFrame:
+def positions(df: DataFrame, out: str = "idx", hot: Hot = None) -> DataFrame:
     """0-based position of every event in its case."""
     return running_total(df, F.lit(1).cast("bigint"), out, exclusive=True, hot=hot)

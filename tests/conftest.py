@@ -20,6 +20,5 @@ def spark():
 def all_hot(monkeypatch):
     """Every case takes the route of the hot ones."""
     from eventloom.operators import sequence
-    monkeypatch.setattr(sequence, "HOT_ROWS", 1)
-    monkeypatch.setattr(sequence, "SAMPLE", 1.0)
-    monkeypatch.setattr(sequence, "SLICE_MS", 2)
+    monkeypatch.setattr(sequence, "LARGE_ROWS", 1)
+    monkeypatch.setattr(sequence, "PART_ROWS", 40)

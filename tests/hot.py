@@ -3,6 +3,6 @@ import sys, os
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from eventloom.operators import sequence
-sequence.HOT_ROWS, sequence.SAMPLE = 30, 1.0
+sequence.LARGE_ROWS, sequence.PART_ROWS = 30, 5000
 import compare
 compare.main(sys.argv[1:])

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.operators import recurrent as rec
 from eventloom.operators.controller import controller
@@ -179,18 +180,35 @@ def test_many_ties_collapse(spark, route):
     assert bag(directly_follows(as_log(ties, "c", "l", "t", "k"))) == {("A", "Z"): 30000, ("B", "Z"): 30000}
 
 
+def day_grain(spark):
+    """A case that holds two thirds of a log whose times are days: most events are simultaneous."""
+    return as_log(spark.range(60000).selectExpr(
+        "if(id % 3 = 0, id % 3000, -1) c", "substr('ABCDEFG', cast(pmod(id * id, 7) as int) + 1, 1) l", "(id * 977 % 90) * 86400000L t", "id k"), "c", "l", "t", "k")
+
+
 def test_one_case_holds_most_events(spark, monkeypatch):
     from eventloom.operators import sequence
-    monkeypatch.setattr(sequence, "HOT_ROWS", 5000)
-    monkeypatch.setattr(sequence, "SAMPLE", 0.5)
-    log = as_log(spark.range(60000).selectExpr(
-        "if(id % 3 = 0, id % 3000, -1) c", "substr('ABCDEFG', cast(pmod(id * id, 7) as int) + 1, 1) l", "id * 977 t", "id k"), "c", "l", "t", "k")
+    monkeypatch.setattr(sequence, "LARGE_ROWS", 5000)
+    monkeypatch.setattr(sequence, "PART_ROWS", 3000)
+    log = day_grain(spark)
     hot = sequence.hot_cases(log)
-    assert len(hot) == 1
-    for op in (directly_follows, dfg, controller):
+    assert [r[0].case.id for r in hot.keys.collect()] == [-1]
+    rules = [Rule(1, ["A"], ["B"], {"B": 0}), Rule(2, ["A", "C"], ["D", "E"], {"E": 0, "D": 1}, 3)]
+    for op in (directly_follows, dfg, controller, lambda log, hot: check_rules(log, rules, hot)):
         assert sorted(map(tuple, op(log, hot=hot).collect())) == sorted(map(tuple, op(log, hot=[]).collect()))
 
 
+def test_parts_of_a_large_case_are_even(spark, monkeypatch):
+    """40,000 events of one case on 90 days: a part holds a small share, so no task sees the case."""
+    from eventloom.operators import sequence
+    monkeypatch.setattr(sequence, "LARGE_ROWS", 5000)
+    monkeypatch.setattr(sequence, "PART_ROWS", 3000)
+    parts = sequence.with_parts(sequence.split_hot(day_grain(spark))[1], ["case", "ms", "tie"])
+    rows = parts.groupBy("slice").agg(F.count(F.lit(1)), F.min(F.struct("ms", "tie")), F.max(F.struct("ms", "tie"))).orderBy("slice").collect()
+    assert sum(r[1] for r in rows) == 40000 and max(r[1] for r in rows) <= 2 * 3000
+    assert all(a[3] < b[2] for a, b in zip(rows, rows[1:]))
+
+
 def test_filter_inside_and_outside_the_log_differ(spark):
     log = hours(spark, "A@1 B@2 C@3")
     assert bag(directly_follows(log).filter("event_label_p = 'A'")) == {("A", "B"): 1}
