@@ -123,12 +123,31 @@ def extract(part: str, ts: Column) -> Column:
     return fields[unit](ts)
 
 
-def format_datetime(ts: Column, pattern: str) -> Column:
-    return F.date_format(ts, pattern)
+def current_timestamp(scale: int = 6) -> Column:
+    """The wall-clock time of the query, cut to ``scale`` digits of a second (0 to 6)."""
+    now = F.localtimestamp()
+    extra = F.extract(F.lit("SECOND"), now).cast("decimal(8,6)") * 1000000
+    return F.timestamp_add("MICROSECOND", -F.pmod(extra.cast("int"), F.lit(10 ** (6 - min(max(scale, 0), 6)))), now)
 
 
-def parse_datetime(s: Column, pattern: str) -> Column:
-    return F.to_timestamp_ntz(s, F.lit(pattern))
+def _in_locale(pattern: str, locale: str) -> dict[str, str]:
+    # a lone value of a one-column line: nothing to separate, nothing to quote
+    return {"timestampFormat": pattern, "locale": locale, "sep": "\u0001", "quote": "\u0002", "escape": "\u0002", "mode": "FAILFAST"}
+
+
+def format_datetime(ts: Column, pattern: str, locale: str | None = None, zone: str | None = None) -> Column:
+    """The time as text; names in the language of ``locale``; for a ``zone``, the wall-clock time of the session is moved there."""
+    if zone:
+        ts = F.convert_timezone(F.current_timezone(), F.lit(zone), ts)
+    if not locale:
+        return F.date_format(ts, pattern)
+    return F.when(ts.isNotNull(), F.to_csv(F.struct(ts.cast("timestamp").alias("t")), _in_locale(pattern, locale)))
+
+
+def parse_datetime(s: Column, pattern: str, locale: str | None = None, zone: str | None = None) -> Column:
+    """A text read as a time; with a ``zone`` as the wall-clock time there, which is moved to the session's."""
+    ts = F.from_csv(s, "t timestamp", _in_locale(pattern, locale))["t"].cast("timestamp_ntz") if locale else F.to_timestamp_ntz(s, F.lit(pattern))
+    return F.convert_timezone(F.lit(zone), F.current_timezone(), ts) if zone else ts
 
 
 def add_months(ts: Column, n) -> Column:

@@ -46,10 +46,19 @@ def round_half_away(x: Column, digits: Column | int = 0) -> Column:
 def round_magic(x: Column) -> Column:
     """Removes the digit noise of binary fractions.
 
-    Divergence: rounds to 12 decimal places; values beyond 1e12 stay as they are.
+    Only a long decimal (16 characters or more, three or more after the point) changes, by its tail: its last two characters go; if the three
+    before the then last one are 000 that one becomes 0, if they are 999 it becomes 9 and more nines follow. Values
+    within 1e-13 are 0, those beyond 1e12 and those with an exponent stay as they are.
     """
     v = x.cast("double")
-    return (F.when(F.abs(v) < 1e-13, F.lit(0.0)).when(F.abs(v) > 1e12, v).otherwise(F.round(v, 12)))
+    text = v.cast("string")
+    size = F.length(text)
+    body = F.substring(text, F.lit(1), size - 3)
+    tail = F.substring(text, size - 5, F.lit(3))
+    cut = F.when(tail == "000", F.concat(body, F.lit("0"))).when(tail == "999", F.concat(body, F.lit("9999"))).otherwise(
+        F.substring(text, F.lit(1), size - 2))
+    short = (size < 16) | F.contains(text, F.lit("E")) | (size - F.instr(text, ".") < 3)
+    return F.when(F.abs(v) < 1e-13, F.lit(0.0)).when((F.abs(v) > 1e12) | short, v).otherwise(cut.try_cast("double"))
 
 
 def sign(x: Column) -> Column:

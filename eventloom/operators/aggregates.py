@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +27,39 @@ def avg_same_type(x: Column, kind: str = "int") -> Column:
     return F.when(n > 0, ((total - rest) / n)).cast(kind)
 
 
-def group_concat(x: Column, separator: str = ",", order: Sequence[Column] | None = None, distinct: bool = False) -> Column:
-    """Texts of a group joined in order; NULLs are skipped; NULL when nothing is left.
+class Descending(NamedTuple):
+    """An order from large to small, of any type that can be compared."""
+    by: Column
+
+
+def descending(by: Column | str) -> Descending:
+    return Descending(F.col(by) if isinstance(by, str) else by)
+
+
+def _compare(orders: Sequence[Column | Descending]):
+    """-1, 0 or 1 of two rows by their fields o0, o1, ...; NULL is smaller than every value."""
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for i in reversed(range(len(orders))):
+            x, y = a[f"o{i}"], b[f"o{i}"]
+            less, sign = F.coalesce(x < y, x.isNull() & y.isNotNull()), -1 if isinstance(orders[i], Descending) else 1
+            more = F.coalesce(x > y, x.isNotNull() & y.isNull())
+            out = F.when(less, -sign).when(more, sign).otherwise(out)
+        return out
+    return compare
+
+
+def group_concat(x: Column, separator: str = ",", order: Sequence[Column | Descending] | None = None, distinct: bool = False) -> Column:
+    """Texts of a group joined in order; NULLs are skipped; NULL when nothing is left. Orders rise unless ``descending``.
 
     The result is one text per group, so the group has to fit one row by definition.
     """
     if distinct and not order:
         parts = F.array_sort(F.collect_set(x))
     elif order:
-        rows = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], x.alias("x")))))
+        by = [o.by if isinstance(o, Descending) else o for o in order]
+        rows = F.collect_list(F.when(x.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(by)], x.alias("x"))))
+        rows = F.array_sort(rows, _compare(order)) if any(isinstance(o, Descending) for o in order) else F.array_sort(rows)
         parts = F.transform(rows, lambda r: r["x"])
         if distinct:  # each text where it comes first
             parts = F.array_distinct(parts)

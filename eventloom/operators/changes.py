@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.ids import assign_ids
+from eventloom.session import cut_lineage
 
 
 def _has_keys(keys: Sequence[str]) -> Column:
@@ -31,18 +32,21 @@ SetExpr = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_exprs: Mapping[str, SetExpr] | None = None,
-           defaults: Mapping[str, Column] | None = None) -> DataFrame:
+           defaults: Mapping[str, Column] | None = None, order: Sequence[Column | str] | None = None) -> DataFrame:
     """Update by key, insert where the key is new.
 
     Columns missing from ``source`` keep their value on update and take their default on
     insert. ``set_exprs`` maps a column to a function of (old, new) column getters for
-    "on duplicate key update"; columns not named there stay as they are. Both sides must
-    have unique keys: a duplicate fails the query.
+    "on duplicate key update"; columns not named there stay as they are. The target must have unique keys: a
+    duplicate fails the query. So must the source, unless ``order`` is given: its rows of one key are then applied
+    one after the other in that order, as single statements would be.
     """
     missing = [k for k in keys if k not in source.columns]
     if missing:
         raise ValueError(f"key columns {missing} are not in the source")
     defaults = defaults or {}
+    if order is not None:
+        return _upsert_in_turn(target, source, list(keys), set_exprs, defaults, order)
     t = _fail_on_duplicates(target.filter(_has_keys(keys)), keys, "target").select(
         *[F.col(k).alias(f"__tk_{k}") for k in keys], F.struct(*target.columns).alias("__t"))
     s = _fail_on_duplicates(source.filter(_has_keys(keys)), keys, "source").select(
@@ -67,9 +71,51 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], set_exprs:
     return merged.unionByName(rest_t).unionByName(rest_s)
 
 
-def replace_into(target: DataFrame, source: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+#: Source rows of one key that are folded in one go.
+FOLD_ROWS = 10_000
+
+
+def _upsert_in_turn(target: DataFrame, source: DataFrame, keys: list[str], set_exprs, defaults, order) -> DataFrame:
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    keyed, rest = source.filter(_has_keys(keys)), source.filter(~_has_keys(keys))
+    if set_exprs is None:
+        # every listed column is overwritten each time, so only the last row of a key counts
+        last = keyed.groupBy(*keys).agg(F.max_by(F.struct(*keyed.columns), F.struct(*by)).alias("__s"))
+        return upsert(target, last.select("__s.*").unionByName(rest), keys, None, defaults)
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1
+    turns = cut_lineage(keyed.withColumn("__turn", turn).withColumn("__part", F.floor(F.col("__turn") / FOLD_ROWS)))
+    parts = (turns.agg(F.max("__part")).first()[0] or 0) + 1
+    out = _fail_on_duplicates(target.filter(_has_keys(keys)), keys, "target").unionByName(target.filter(~_has_keys(keys)))
+    for part in range(parts):
+        out = _fold(out, turns.filter(F.col("__part") == part), keys, set_exprs, defaults)
+        out = cut_lineage(out) if part + 1 < parts else out
+    return upsert(out, rest, keys, set_exprs, defaults)
+
+
+def _fold(target: DataFrame, turns: DataFrame, keys: list[str], set_exprs, defaults) -> DataFrame:
+    """``turns`` applied to the target: per key an ordered array of at most FOLD_ROWS rows, folded by the set expressions."""
+    fields = target.schema.fields
+    listed = [c for c in turns.columns if not c.startswith("__")]
+    rows = turns.groupBy(*[F.col(k).alias(f"__sk_{k}") for k in keys]).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("__turn", F.struct(*listed).alias("row")))), lambda r: r["row"]).alias("__rows"))
+    t = target.filter(_has_keys(keys)).select(*[F.col(k).alias(f"__tk_{k}") for k in keys], F.struct(*[F.col(f.name) for f in fields]).alias("__t"))
+    on = reduce(lambda a, b: a & b, [F.col(f"__tk_{k}") == F.col(f"__sk_{k}") for k in keys])
+    known, first = F.col("__t").isNotNull(), F.col("__rows")[0]
+    entered = F.struct(*[(first[f.name] if f.name in listed else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in fields])
+
+    def apply(state: Column, row: Column) -> Column:
+        return F.struct(*[(set_exprs[f.name](lambda c: state[c], lambda c: row[c]) if f.name in set_exprs else state[f.name])
+                          .cast(f.dataType).alias(f.name) for f in fields])
+
+    start = F.struct(*[F.when(known, F.col("__t")[f.name]).otherwise(entered[f.name]).alias(f.name) for f in fields])
+    later = F.when(known, F.col("__rows")).otherwise(F.slice("__rows", F.lit(2), F.greatest(F.size("__rows"), F.lit(1))))
+    state = F.when(F.col("__rows").isNull(), start).otherwise(F.aggregate(later, start, apply))
+    return t.join(rows, on, "full").select(state.alias("__o")).select("__o.*").unionByName(target.filter(~_has_keys(keys)))
+
+
+def replace_into(target: DataFrame, source: DataFrame, keys: Sequence[str] = (), order: Sequence[Column | str] | None = None) -> DataFrame:
     """Upsert by primary key; a plain insert for a table without one."""
-    return upsert(target, source, keys) if keys else insert(target, source)
+    return upsert(target, source, keys, order=order) if keys else insert(target, source)
 
 
 def insert(target: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] | None = None,

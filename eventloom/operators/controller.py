@@ -102,10 +102,19 @@ def _hot_cases(log: DataFrame) -> DataFrame:
     return inner.unionByName(outer)
 
 
-def _alphabet(log: DataFrame) -> list[str] | None:
-    """The labels, unless there are too many for one column each."""
-    rows = log.select("label").distinct().limit(MAX_LABEL_COLUMNS + 1).collect()
-    return sorted(r.label for r in rows) if len(rows) <= MAX_LABEL_COLUMNS else None
+def _occurrences(log: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """``x, n`` of every label; and the labels, unless there are too many for one column each."""
+    counted = log.groupBy(F.col("label").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.limit(MAX_LABEL_COLUMNS + 1).collect()
+    if len(rows) > MAX_LABEL_COLUMNS:
+        return counted, None
+    return log.sparkSession.createDataFrame(rows, counted.schema), sorted(r.x for r in rows)
+
+
+def _grid(occ: DataFrame) -> DataFrame:
+    """Every ordered pair of labels, as the result has a row for each: the alphabet is unrolled beside each label."""
+    labels = occ.agg(F.collect_list("x")).scalar()
+    return occ.withColumn("y", F.explode(labels)).where(F.col("x") != F.col("y"))
 
 
 def _at_label(labels: list[str]) -> list[Column]:
@@ -160,10 +169,9 @@ def _columns_hot(log: DataFrame, labels: list[str]) -> DataFrame:
         "label", "at", *[F.greatest(f"q{j}", f"c{j}").alias(f"p{j}") for j in n], *[f"f{j}" for j in n], *[f"l{j}" for j in n])
 
 
-def _pair_counts(log: DataFrame, hot: Hot) -> DataFrame:
+def _pair_counts(log: DataFrame, labels: list[str] | None, hot: Hot) -> DataFrame:
     """Per (x, y): shared events, and the four counts that depend on places."""
     cold, warm = split_hot(log, hot)
-    labels = _alphabet(log)
     if labels:
         rows = _columns_ordinary(cold, labels)
         if warm is not None:
@@ -180,12 +188,9 @@ def controller(log: DataFrame, hot: Hot = None) -> DataFrame:
     """``type, event_label_p, event_label_s, frequency``."""
     log = log.filter(F.col("label").isNotNull())
     hot = hot_cases(log) if hot is None else hot
-    occ = log.groupBy(F.col("label").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = _pair_counts(log, hot)
-    # The result itself has a row per ordered pair of labels, shared case or not:
-    # this inequality join runs over the alphabet and never over events.
-    grid = occ.join(occ.select(F.col("x").alias("y")), F.col("x") != F.col("y"))
-    full = grid.join(pairs, ["x", "y"], "left").fillna(0, ["co", "nf", "np", "rp", "rb"])
+    occ, labels = _occurrences(log)
+    pairs = _pair_counts(log, labels, hot)
+    full = _grid(occ).join(pairs, ["x", "y"], "left").fillna(0, ["co", "nf", "np", "rp", "rb"])
     alone = F.col("n") - F.col("co")
     kinds = F.array(*[F.struct(F.lit(k).alias("type"), v.alias("frequency")) for k, v in (
         (NO_FOLLOWING, alone + F.col("nf")), (NO_PRECEDING, alone + F.col("np")), (NO_COOCCURRING, alone),

@@ -126,3 +126,33 @@ def quantified(x: Column, op: str, quantifier: str, values: DataFrame, column: s
     if every:
         return F.when(n == 0, True).when(~hit, False).when((nulls > 0) | x.isNull(), unknown).otherwise(hit)
     return F.when(n == 0, False).when(hit, True).when((nulls > 0) | x.isNull(), unknown).otherwise(hit)
+
+
+def _right_side(values: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The values without NULL, and two one-row summaries of all of them: whether there is any, whether one is NULL."""
+    v = values.select(F.col(f"`{values.columns[0]}`").alias("__v"))
+    return (v.where(F.col("__v").isNotNull()), v.agg(F.count(F.lit(1)) > 0).scalar(), v.agg(F.count_if(F.col("__v").isNull()) > 0).scalar())
+
+
+def not_in(df: DataFrame, value: Column, values: DataFrame) -> DataFrame:
+    """Rows for which ``value NOT IN (values)`` is true; ``values`` has one column.
+
+    NULL makes the answer unknown: a NULL among the values for every row, a NULL value unless there are no values.
+    Both are read off a summary of the right side, so the rest is an ordinary anti join on the key.
+    """
+    known, some, some_null = _right_side(values)
+    keyed = df.withColumn("__k", value)
+    # rows without a value never match; they would all meet in one task of the join
+    rest = keyed.where(F.col("__k").isNotNull() & ~some_null).join(known, F.col("__k") == F.col("__v"), "left_anti")
+    return rest.unionByName(keyed.where(F.col("__k").isNull() & ~some)).drop("__k")
+
+
+def with_not_in(df: DataFrame, value: Column, values: DataFrame, out: str) -> DataFrame:
+    """Adds the answer of ``value NOT IN (values)`` as ``out``: true, false or NULL."""
+    known, some, some_null = _right_side(values)
+    keyed = df.withColumn("__k", value)
+    hits = known.distinct().withColumn("__hit", F.lit(True))
+    joined = keyed.where(F.col("__k").isNotNull()).join(hits, F.col("__k") == F.col("__v"), "left")
+    answer = F.when(F.col("__hit"), False).when(some_null, F.lit(None).cast("boolean")).otherwise(True)
+    return (joined.withColumn(out, answer).drop("__k", "__v", "__hit")
+            .unionByName(keyed.where(F.col("__k").isNull()).withColumn(out, F.when(~some, True)).drop("__k")))

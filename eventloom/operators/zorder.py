@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from functools import reduce
 
@@ -45,35 +46,40 @@ def _interleave_int(values: Sequence[int]) -> int:
 
 
 def box_ranges(low: Sequence[int], high: Sequence[int], max_ranges: int = 64) -> list[tuple[int, int]]:
-    """Scalar ranges that together cover a box (both corners inclusive).
+    """At most ``max_ranges`` scalar ranges that together cover a box (both corners inclusive).
 
-    Cells are halved along the z-curve until they lie inside the box or the list is
-    long enough; the ranges may cover more than the box, so keep the box filter.
+    A cell is a stretch of the z-curve, and halving it halves one dimension. The cell that covers most outside the box
+    is halved first; halves that miss the box go. The ranges may cover more than the box, so keep the box filter.
     """
     dims = len(low)
-    top = bits_per_dimension(dims)
-    cells = [((0,) * dims, top)]
-    while True:
-        finer, split = [], False
-        for corner, k in cells:
-            end = [c + (1 << k) - 1 for c in corner]
-            if any(e < lo or c > hi for c, e, lo, hi in zip(corner, end, low, high)):
-                split = True
-                continue
-            inside = all(lo <= c and e <= hi for c, e, lo, hi in zip(corner, end, low, high))
-            if inside or k == 0:
-                finer.append((corner, k))
-            else:
-                split = True
-                half = 1 << (k - 1)
-                finer += [(tuple(c + half * ((n >> j) & 1) for j, c in enumerate(corner)), k - 1) for n in range(1 << dims)]
-        if not split or len(finer) > max_ranges * (1 << dims):
-            break
-        cells = finer
-    ranges = sorted((_interleave_int(c), _interleave_int([x + (1 << k) - 1 for x in c])) for c, k in cells
-                    if all(c[j] + (1 << k) - 1 >= low[j] and c[j] <= high[j] for j in range(dims)))
+    bits = bits_per_dimension(dims)
+    if any(lo > hi for lo, hi in zip(low, high)):
+        return []
+
+    def cell(corner: tuple[int, ...], width: tuple[int, ...], level: int):
+        """(excess, start on the curve, level, corner, width of each dimension in bits); None when it misses the box."""
+        size = met = 1
+        for c, w, lo, hi in zip(corner, width, low, high):
+            size <<= w
+            met *= max(0, min(c + (1 << w) - 1, hi) - max(c, lo) + 1)
+        return (met - size, _interleave_int(corner), level, corner, width) if met else None
+
+    first = cell((0,) * dims, (bits,) * dims, bits * dims)
+    open_, done = ([first] if first else []), []
+    while open_ and len(open_) + len(done) < max_ranges:
+        worst = heapq.heappop(open_)
+        excess, start, level, corner, width = worst
+        if not excess:
+            done.append(worst)
+            continue
+        j = (level - 1) % dims
+        narrow = tuple(w - (i == j) for i, w in enumerate(width))
+        upper = tuple(c + (1 << narrow[j]) * (i == j) for i, c in enumerate(corner))
+        for half in (cell(corner, narrow, level - 1), cell(upper, narrow, level - 1)):
+            if half:
+                heapq.heappush(open_, half)
     merged: list[tuple[int, int]] = []
-    for a, b in ranges:
+    for a, b in sorted((start, start + (1 << level) - 1) for _, start, level, _, _ in [*done, *open_]):
         if merged and a <= merged[-1][1] + 1:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
@@ -81,10 +87,18 @@ def box_ranges(low: Sequence[int], high: Sequence[int], max_ranges: int = 64) ->
     return merged
 
 
-def box_filter(z: str, cols: Sequence[str], low: Sequence[int], high: Sequence[int]) -> Column:
+def _as_long(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of 64-bit values as signed numbers; one across the sign is cut in two."""
+    top, out = 1 << 63, []
+    for a, b in ranges:
+        out += [(a, b)] if b < top else [(a - 2 * top, b - 2 * top)] if a >= top else [(a, top - 1), (-top, b - 2 * top)]
+    return out
+
+
+def box_filter(z: str, cols: Sequence[str], low: Sequence[int], high: Sequence[int], max_ranges: int = 64) -> Column:
     """Rows inside a box: ranges on the z column (which reach the file statistics of a
     z-ordered table) and the box itself."""
-    ranges = box_ranges(low, high)
+    ranges = _as_long(box_ranges(low, high, max_ranges))
     on_curve = reduce(lambda a, b: a | b, [F.col(z).between(a, b) for a, b in ranges]) if ranges else F.lit(False)
     return reduce(lambda a, b: a & b, [F.col(c).between(lo, hi) for c, lo, hi in zip(cols, low, high)], on_curve)
 

@@ -49,6 +49,26 @@ def _(spark, sf):
                      {"c_acctbal": lambda old, new: old("c_acctbal") + new("c_acctbal")}, {"c_name": F.lit("new")})
 
 
+@query("upsert_repeated_keys", """SELECT coalesce(t.c_custkey, s.k) AS c_custkey, t.c_name, t.c_nationkey, coalesce(s.v, t.c_acctbal) AS c_acctbal,
+coalesce(s.p, t.c_mktsegment) AS c_mktsegment FROM customer t FULL JOIN
+(SELECT o_custkey + 500 AS k, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS v, last(o_orderpriority ORDER BY o_orderdate, o_orderkey) AS p
+FROM orders GROUP BY 1) s ON t.c_custkey = s.k""")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select((c("o_custkey") + 500).alias("c_custkey"), c("o_totalprice").alias("c_acctbal"),
+                                             c("o_orderpriority").alias("c_mktsegment"), "o_orderdate", "o_orderkey")
+    return ch.upsert(table(spark, sf, "customer"), rows, ["c_custkey"], order=["o_orderdate", "o_orderkey"])
+
+
+@query("insert_on_duplicate_key_update_in_turn", """SELECT coalesce(t.k, s.k) AS k, CASE WHEN s.k IS NULL THEN t.v
+WHEN t.k IS NULL THEN list_reduce(s.l, lambda a, b: (a * 3 + b) % 1000003) ELSE list_reduce(list_prepend(t.v, s.l), lambda a, b: (a * 3 + b) % 1000003) END AS v FROM
+(SELECT c_custkey AS k, CAST(c_nationkey AS BIGINT) AS v FROM customer) t FULL JOIN
+(SELECT o_custkey + 500 AS k, list(CAST(o_orderkey AS BIGINT) ORDER BY o_orderdate, o_orderkey) AS l FROM orders GROUP BY 1) s ON t.k = s.k""")
+def _(spark, sf):
+    t = table(spark, sf, "customer").select(c("c_custkey").alias("k"), c("c_nationkey").cast("bigint").alias("v"))
+    s = table(spark, sf, "orders").select((c("o_custkey") + 500).alias("k"), c("o_orderkey").cast("bigint").alias("v"), "o_orderdate")
+    return ch.upsert(t, s, ["k"], {"v": lambda old, new: (old("v") * 3 + new("v")) % 1000003}, order=["o_orderdate", "v"])
+
+
 _NULLED = "SELECT nullif(s_nationkey, 5) AS s_nationkey, count(*) AS n FROM supplier GROUP BY 1"
 
 

@@ -107,6 +107,16 @@ LOGS = {"events": (events_log, EVENTS), "orders": (orders_log, ORDERS), "lineite
         "conversations": (conversations_log, TALKS), "daily_events": (daily_events_log, DAILY)}
 
 
+def parts_log(spark, sf):
+    """Line items of an order as a log with hundreds of labels: the parts, in groups."""
+    li = table(spark, sf, "lineitem").withColumn("part", F.concat(F.lit("P"), F.col("l_partkey") % 400))
+    return as_log(li, "l_orderkey", "part", "l_shipdate", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+PARTS = ("SELECT l_orderkey c, 'P' || (l_partkey % 400) l, epoch_us(l_shipdate) // 1000 t, "
+         "(l_linenumber, l_partkey, l_suppkey, l_extendedprice) k FROM lineitem")
+
+
 def _register():
     for name, (log, src) in LOGS.items():
         query(f"weakly_follows_{name}", batch_sql(src, True))(lambda s, d, log=log: weakly_follows(log(s, d)))
@@ -121,6 +131,7 @@ def _register():
 
 
 _register()
+query("controller_many_labels", controller_sql(PARTS))(lambda s, d: ctl.controller(parts_log(s, d)))
 
 
 @query("follows_graph_no_start_for_singletons", graph_sql(DAILY.replace("user_id c", "event_id % 7919 c"), singles=False))

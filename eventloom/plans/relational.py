@@ -81,6 +81,13 @@ def _(spark, sf):
     return spark.createDataFrame([(n,)], "n bigint")
 
 
+@query("csv_empty_table", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents WHERE n_chars < 0")
+def _(spark, sf):
+    path = scratch_path(spark, "csv")
+    csv_files.write_csv(table(spark, sf, "documents").where("n_chars < 0").select("doc_id", "text"), path)
+    return csv_files.read_csv(spark, path, keep_case=True)
+
+
 @query("csv_quoted_text", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
 def _(spark, sf):
     path = scratch_path(spark, "csv")
@@ -153,10 +160,31 @@ def _(spark, sf):
 
 
 sql_query("in_subquery", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-sql_query("not_in_subquery_null_aware", "part lineitem", f"""SELECT count(*) AS n, count(CASE WHEN s NOT IN
-(SELECT nullif(l_linenumber, 3) FROM lineitem) THEN 1 END) AS hits FROM {_MAYBE}""", f"""SELECT CAST(count(*) AS BIGINT) AS n,
+
+
+@query("not_in_subquery_null_aware", f"""SELECT CAST(count(*) AS BIGINT) AS n,
 CAST(count(CASE WHEN s NOT IN (SELECT nullif(l_linenumber, 3) FROM lineitem) THEN 1 END) AS BIGINT) AS hits FROM {_MAYBE}""")
-sql_query("not_in_subquery", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def _(spark, sf):
+    views(spark, sf, "part")
+    values = table(spark, sf, "lineitem").select(F.nullif("l_linenumber", F.lit(3)).alias("v"))
+    flagged = joins.with_not_in(spark.sql(f"SELECT * FROM {_MAYBE}"), F.col("s"), values, "out")
+    return flagged.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("out")).alias("hits"))
+
+
+@query("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def _(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey")
+    return joins.not_in(c, F.col("c_custkey"), table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_custkey"))
+
+
+@query("not_in_three_answers", """SELECT p_partkey, nullif(p_size, 7) NOT IN (SELECT l_linenumber FROM lineitem) AS plain,
+nullif(p_size, 7) NOT IN (SELECT nullif(l_linenumber, 3) FROM lineitem) AS with_null, nullif(p_size, 7) NOT IN (SELECT l_linenumber FROM lineitem WHERE l_linenumber < 0) AS none FROM part""")
+def _(spark, sf):
+    rows, lines, k = table(spark, sf, "part").select("p_partkey", "p_size"), table(spark, sf, "lineitem"), F.nullif("p_size", F.lit(7))
+    for name, values in (("plain", lines.select("l_linenumber")), ("with_null", lines.select(F.nullif("l_linenumber", F.lit(3)))),
+                         ("none", lines.where("l_linenumber < 0").select("l_linenumber"))):
+        rows = joins.with_not_in(rows, k, values, name)
+    return rows.drop("p_size")
 
 
 def _quantified(name, op, quantifier):
@@ -390,6 +418,14 @@ def _(spark, sf):
         agg.group_concat(F.nullif("n_name", F.lit("NATION_3")), "; ", order=[-F.col("n_nationkey")]).alias("names"))
 
 
+@query("group_concat_descending", """SELECT p_brand, string_agg(p_type, ',' ORDER BY p_type DESC, p_partkey) AS types,
+string_agg(p_name, ';' ORDER BY nullif(p_size, 5) DESC NULLS LAST, p_name DESC) AS names FROM part GROUP BY p_brand""")
+def _(spark, sf):
+    return table(spark, sf, "part").groupBy("p_brand").agg(
+        agg.group_concat(F.col("p_type"), order=[agg.descending("p_type"), F.col("p_partkey")]).alias("types"),
+        agg.group_concat(F.col("p_name"), ";", order=[agg.descending(F.nullif("p_size", F.lit(5))), agg.descending("p_name")]).alias("names"))
+
+
 sql_query("stddev_variance", "lineitem", """SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss,
 round(var_pop(l_quantity), 5) AS vp, round(var_samp(l_quantity), 5) AS vs FROM lineitem GROUP BY l_returnflag""")
 sql_query("variance_of_single_row", "nation", "SELECT n_name, stddev_samp(n_regionkey) AS s, var_pop(n_regionkey) AS v FROM nation GROUP BY n_name")
@@ -441,6 +477,39 @@ def _(spark, sf):
     return g.select("p_brand", F.round("g", 6).alias("g"))
 
 
+@query("user_aggregate_typed", """SELECT p_brand, first(p_name ORDER BY p_retailprice DESC, p_name) || '/' || count(*) AS best FROM part
+WHERE p_retailprice IS NOT NULL AND p_name IS NOT NULL GROUP BY p_brand""")
+def _(spark, sf):
+    return user.fold_by(table(spark, sf, "part"), ["p_brand"], ["p_name", "p_retailprice"], user.DEAREST, "best", "string")
+
+
+@query("user_function_overloads", """SELECT p_partkey, p_size * 2.0::DOUBLE AS one, p_size * 2.0::DOUBLE + p_retailprice AS two, nullif(p_size, 3) * 2.0::DOUBLE + p_retailprice AS with_null,
+true AS fixed FROM part""")
+def _(spark, sf):
+    views(spark, sf, "part")
+    score = user.register_function(spark, "part_score", {1: lambda a: a * 2.0, 2: lambda a, b: a * 2.0 + b}, "double")
+    drawn = user.register_function(spark, "part_draw", {1: lambda a: a * 0.0}, "double", deterministic=False)
+    fixed = score.deterministic and not drawn.deterministic
+    return spark.sql(f"""SELECT p_partkey, part_score(p_size) AS one, part_score(p_size, p_retailprice) AS two,
+    part_score(nullif(p_size, 3), p_retailprice) AS with_null, {str(fixed).lower()} AS fixed FROM part""")
+
+
+@query("table_function_dynamic", """SELECT user_id AS key, CAST(count_if(event_type = 'view') AS BIGINT) AS view, CAST(count_if(event_type = 'click') AS BIGINT) AS click
+FROM events GROUP BY user_id""")
+def _(spark, sf):
+    views(spark, sf, "events")
+    user.register(spark)
+    return spark.sql("SELECT * FROM label_counts(TABLE(SELECT user_id, event_type FROM events) PARTITION BY (user_id), 'view,click')")
+
+
+@query("table_function_ordered", """SELECT user_id AS key, lag(event_type) OVER w AS before, event_type AS after FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lag(event_id) OVER w IS NOT NULL""")
+def _(spark, sf):
+    views(spark, sf, "events")
+    user.register(spark)
+    return spark.sql("""SELECT * FROM label_steps(TABLE(SELECT user_id, event_type, ts, event_id FROM events) PARTITION BY (user_id) ORDER BY (ts, event_id))""")
+
+
 @query("user_function_python", """SELECT p_partkey, p_size > 1 AND NOT EXISTS (SELECT 1 FROM range(2, p_size) d(d) WHERE p_size % d = 0) AS prime FROM part""")
 def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", user.is_prime("p_size").alias("prime"))
@@ -512,6 +581,13 @@ SELECT c_custkey, depth + 1 FROM customer JOIN tree ON c_custkey div 3 = k WHERE
 sql_query("recursive_query", "customer", _TREE, _TREE.replace("div", "//"))
 
 
+@query("recursive_query_text", _TREE.replace("div", "//"))
+def _(spark, sf):
+    views(spark, sf, "customer")
+    return sets.recursive_sql(spark, "tree", "SELECT c_custkey AS k, 0 AS depth FROM customer WHERE c_custkey = 1",
+                              "SELECT c_custkey, depth + 1 FROM customer JOIN tree ON c_custkey div 3 = k WHERE c_custkey > 1")
+
+
 @query("recursive_query_loop", _TREE.replace("div", "//"))
 def _(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")

@@ -43,8 +43,12 @@ _over("math_round_half_away", "lineitem", """SELECT l_orderkey, l_linenumber, l_
 sign(v) * floor(abs(v) * 10 + 0.5) / 10 AS r1 FROM (SELECT *, (l_quantity - 25) / 4 AS v FROM lineitem)""",
       l_orderkey=None, l_linenumber=None, l_partkey=None, r=lambda: m.round_half_away((c("l_quantity") - 25) / 4),
       r1=lambda: m.round_half_away((c("l_quantity") - 25) / 4, 1))
-_over("math_roundmagic", "lineitem", "SELECT l_orderkey, l_partkey, round(l_discount + l_tax + 0.3, 12) AS v FROM lineitem",
-      l_orderkey=None, l_partkey=None, v=lambda: m.round_magic(c("l_discount") + c("l_tax") + 0.3))
+_MAGIC = """CASE WHEN length(t) < 16 OR t LIKE '%e%' OR length(t) - instr(t, '.') < 3 THEN x
+WHEN t[-6:-4] = '000' THEN CAST(t[1:-4] || '0' AS DOUBLE) WHEN t[-6:-4] = '999' THEN CAST(t[1:-4] || '9999' AS DOUBLE) ELSE CAST(t[1:-3] AS DOUBLE) END"""
+_over("math_roundmagic", "lineitem", f"""SELECT l_orderkey, l_partkey, v, w FROM (SELECT l_orderkey, l_partkey,
+(SELECT {_MAGIC} FROM (SELECT l_discount + l_tax + 0.3::DOUBLE AS x, CAST(l_discount + l_tax + 0.3::DOUBLE AS VARCHAR) AS t)) AS v,
+(SELECT {_MAGIC} FROM (SELECT l_quantity / 7 + 1 AS x, CAST(l_quantity / 7 + 1 AS VARCHAR) AS t)) AS w FROM lineitem)""",
+      l_orderkey=None, l_partkey=None, v=lambda: m.round_magic(c("l_discount") + c("l_tax") + 0.3), w=lambda: m.round_magic(c("l_quantity") / 7 + 1))
 _over("math_sign", "customer", "SELECT c_custkey, CAST(sign(c_acctbal) AS INTEGER) AS s FROM customer", c_custkey=None, s=lambda: m.sign(c("c_acctbal")))
 _over("math_truncate", "customer", """SELECT c_custkey, trunc(c_acctbal) AS t, CASE WHEN c_acctbal < 0 THEN ceil(c_acctbal * 10.0::DOUBLE) ELSE floor(c_acctbal * 10.0::DOUBLE) END / 10.0::DOUBLE AS t1 FROM customer""",
       c_custkey=None, t=lambda: m.truncate(c("c_acctbal")), t1=lambda: m.truncate(c("c_acctbal"), 1))
@@ -173,6 +177,22 @@ def _(spark, sf):
     return now.agg(F.count(F.lit(1)).alias("n"), ((F.count_distinct("d", "t", "c") == 1) & F.bool_and(F.to_date("t") == c("d"))).alias("same"))
 
 
+@query("current_timestamp_scale", "SELECT CAST(count(*) AS BIGINT) AS n, true AS whole, true AS hundredths, true AS near FROM nation")
+def _(spark, sf):
+    at = table(spark, sf, "nation").select(F.localtimestamp().alias("t"), dt.current_timestamp(0).alias("s"), dt.current_timestamp(2).alias("h"))
+    micros = lambda x: F.extract(F.lit("SECOND"), c(x)) * 1000000
+    return at.agg(F.count(F.lit(1)).alias("n"), F.bool_and(micros("s") % 1000000 == 0).alias("whole"), F.bool_and(micros("h") % 10000 == 0).alias("hundredths"),
+                  F.bool_and((c("h") <= c("t")) & (c("s") <= c("h")) & (F.timestamp_diff("SECOND", c("s"), c("t")) < 1)).alias("near"))
+
+
+_FRENCH = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
+_over("format_and_parse_in_locale_and_zone", "events", f"""SELECT event_id, strftime(ts, '%-d ') || {_FRENCH}[month(ts)] || strftime(ts, ' %Y') AS french,
+strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS tokyo, date_trunc('day', ts)::TIMESTAMP AS parsed, date_trunc('minute', ts)::TIMESTAMP AS back FROM events""",
+      event_id=None, french=lambda: dt.format_datetime(c("ts"), "d MMMM yyyy", "fr"), tokyo=lambda: dt.format_datetime(c("ts"), "yyyy-MM-dd HH:mm", zone="Asia/Tokyo"),
+      parsed=lambda: dt.parse_datetime(dt.format_datetime(c("ts"), "d MMMM yyyy", "fr"), "d MMMM yyyy", "fr"),
+      back=lambda: dt.parse_datetime(dt.format_datetime(c("ts"), "yyyy-MM-dd HH:mm", zone="Asia/Tokyo"), "yyyy-MM-dd HH:mm", zone="Asia/Tokyo"))
+_over("text_truncated_to_precision", "part", "SELECT p_partkey, left(p_name, 5) AS a, left(p_type, 100) AS b, left(p_brand, 0) AS z FROM part",
+      p_partkey=None, a=lambda: st.truncate_value(c("p_name"), 5), b=lambda: st.truncate_value(c("p_type"), 100), z=lambda: st.truncate_value(c("p_brand"), 0))
 _over("date_add_parts", "events", """SELECT event_id, strftime(ts + INTERVAL 3 DAY, '%Y-%m-%d %H:%M:%S') AS d, strftime(ts + INTERVAL 14 MONTH, '%Y-%m-%d %H:%M:%S') AS m,
 strftime(ts - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS mi, strftime(ts + INTERVAL 21 DAY, '%Y-%m-%d') AS w, epoch_us(ts + INTERVAL 1500 MILLISECOND) AS ms,
 strftime(ts + INTERVAL 2 YEAR, '%Y-%m-%d') AS y FROM events""",

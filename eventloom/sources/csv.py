@@ -103,4 +103,8 @@ def write_csv(df: DataFrame, path: str, options: str = "") -> int:
     if o.get("lineSep"):
         writer = writer.option("lineSep", o["lineSep"])
     writer.text(path)
+    if not seen.get["n"] and o.get("header", "true").lower() != "false":
+        # no row, so no task has put the header down
+        line = df.sparkSession.range(1).select(F.lit(head).alias("value")).coalesce(1).write.mode("overwrite").option("encoding", o.get("charset", "UTF-8"))
+        (line.option("lineSep", o["lineSep"]) if o.get("lineSep") else line).text(path)
     return seen.get["n"]

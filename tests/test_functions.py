@@ -130,3 +130,47 @@ def test_user_functions(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", 8.0), ("a", None), (None, 5.0)], "k string, v double")
     got = {r.k: r.result for r in user.aggregate_by(df, ["k"], "v", user.GEOMETRIC_MEAN).collect()}
     assert got["a"] == pytest.approx(4.0) and got[None] == pytest.approx(5.0)
+
+
+# --- user functions, noise of fractions, locales ------------------------------------------------
+
+def test_overloads_null_rule_and_flag(spark):
+    f = user.register_function(spark, "joined", {1: lambda a: a.astype(str), -1: lambda *c: c[0].astype(str) + "/" + str(len(c))}, "string")
+    seen = user.register_function(spark, "seen", {1: lambda a: a.isna()}, "boolean", null_on_null=False, deterministic=False)
+    assert f.deterministic and not seen.deterministic
+    row = spark.sql("SELECT joined(1) a, joined(2, 3, 4) b, joined(2, CAST(NULL AS INT)) c, seen(CAST(NULL AS INT)) d FROM range(1)").first()
+    assert tuple(row) == ("1", "2/3", None, True)
+    user.register_function(spark, "only_one", {1: lambda a: a}, "int")
+    with pytest.raises(Exception, match="does not take 2"):
+        spark.sql("SELECT only_one(1, 2)").collect()
+
+
+def test_typed_fold_merges_in_rounds(spark):
+    rows = [(k, f"n{i:03}", float(i % 40)) for k in (1, None) for i in range(200)] + [(1, None, 99.0), (2, "x", None), (3, "only", 1.0)]
+    df = spark.createDataFrame(rows, "k int, p_name string, p_retailprice double").repartition(16)
+    got = user.fold_by(df, ["k"], ["p_name", "p_retailprice"], user.DEAREST, "best", "string", fan_in=2).collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, "n039/200"), (3, "only/1"), (None, "n039/200")]
+
+
+def test_table_function_columns_follow_the_argument(spark):
+    user.register(spark)
+    spark.createDataFrame([(1, "a", 3), (1, "b", 1), (1, "a", 2), (2, "c", 1)], "k int, l string, o int").createOrReplaceTempView("tf")
+    out = spark.sql("SELECT * FROM label_counts(TABLE(tf) PARTITION BY (k), 'a,z')")
+    assert out.columns == ["key", "a", "z"] and sorted(map(tuple, out.collect())) == [(1, 2, 0), (2, 0, 0)]
+    steps = spark.sql("SELECT * FROM label_steps(TABLE(tf) PARTITION BY (k) ORDER BY (o))").collect()
+    assert sorted(map(tuple, steps)) == [(1, "a", "a"), (1, "b", "a")]
+
+
+def test_round_magic_by_definition(spark):
+    given = [0.1 + 0.2, 0.12345678901234567, 2.9999999999999996, 1e-14, 1e13 + 0.1, 1.5, 1.1 * 3, -0.30000000000000004]
+    want = [0.3, 0.123456789012345, 2.9999999999999996, 0.0, 1e13 + 0.1, 1.5, 3.3, -0.3]
+    got = [r.v for r in spark.createDataFrame([(g,) for g in given], "x double").select(m.round_magic(F.col("x")).alias("v")).collect()]
+    assert all(a == b or abs(a - b) < 1e-15 for a, b in zip(got, want)), got
+
+
+def test_locale_and_zone(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-05 22:00:00' t UNION ALL SELECT NULL")
+    got = df.select(dt.format_datetime(F.col("t"), "EEEE d MMMM", "de").alias("a"), dt.format_datetime(F.col("t"), "dd HH", zone="+05:00").alias("b")).collect()
+    assert sorted(map(tuple, got), key=repr) == [("Dienstag 5 März", "06 03"), (None, None)]
+    assert df.select(dt.parse_datetime(F.lit("5 mars 2024"), "d MMMM yyyy", "fr").cast("string")).first()[0] == "2024-03-05 00:00:00"
+    assert df.select((F.extract(F.lit("SECOND"), dt.current_timestamp(0)) % 1 == 0)).first()[0]

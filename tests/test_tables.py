@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,93 @@ def test_distinct_concatenation_keeps_the_order_asked_for(spark):
     df = spark.createDataFrame([("a", 2), ("b", 1), ("a", 3), (None, 0)], "x string, o int")
     got = df.agg(aggregates.group_concat(F.col("x"), ",", order=[F.col("o")], distinct=True).alias("t")).first()
     assert got.t == "b,a"
+
+
+# --- NOT IN, recursion, source keys in turn, z-order ranges ---------------------------------
+
+@pytest.mark.parametrize("values", [[], [1, 3], [1, None], [None]])
+def test_not_in_by_definition(spark, values):
+    rows = [1, 2, 3, None, None]
+    df, v = spark.createDataFrame([(x,) for x in rows], "k int"), spark.createDataFrame([(x,) for x in values], "v int")
+
+    def answer(x):
+        if not values:
+            return True
+        if x is not None and x in values:
+            return False
+        return None if x is None or None in values else True
+
+    got = joins.with_not_in(df, F.col("k"), v, "out").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(x, answer(x)) for x in rows], key=repr)
+    kept = [r.k for r in joins.not_in(df, F.col("k"), v).collect()]
+    assert sorted(kept, key=repr) == sorted([x for x in rows if answer(x)], key=repr)
+
+
+def test_not_in_has_no_nested_loop(spark):
+    df = spark.range(100)
+    for out in (joins.not_in(df, F.col("id"), df), joins.with_not_in(df, F.col("id"), df, "out")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_recursion_beyond_a_hundred_levels_and_a_million_rows(spark):
+    base = "SELECT id AS k, 0 AS depth FROM range(10000)"
+    out = sets.recursive_sql(spark, "walk", base, "SELECT k, depth + 1 FROM walk WHERE depth < 104")
+    assert out.agg(F.count("k"), F.max("depth")).first() == (1_050_000, 104)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan") <= 2
+    with pytest.raises(RuntimeError):
+        sets.recursive_sql(spark, "walk", base, "SELECT * FROM walk", max_rounds=2)
+
+
+def test_source_rows_of_a_key_apply_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(ch, "FOLD_ROWS", 3)
+    target = [(1, 10, "a"), (2, 20, "b"), (None, 5, "n")]
+    source = [(1, i, i) for i in range(8)] + [(3, 7, 1), (3, 4, 0), (None, 9, 0), (None, 9, 1)]
+    t, s = spark.createDataFrame(target, "k int, v bigint, w string"), spark.createDataFrame(source, "k int, v bigint, o int").repartition(3)
+    got = ch.upsert(t, s, ["k"], {"v": lambda old, new: old("v") * 2 + new("v")}, {"w": F.lit("new")}, order=["o"])
+    v = 10
+    for i in range(8):
+        v = v * 2 + i
+    want = [(1, v, "a"), (2, 20, "b"), (3, 4 * 2 + 7, "new"), (None, 5, "n"), (None, 9, "new"), (None, 9, "new")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    last = ch.replace_into(t, s, ["k"], order=["o"])
+    assert sorted((r.k or 0, r.v) for r in last.collect()) == [(0, 5), (0, 9), (0, 9), (1, 7), (2, 20), (3, 7)]
+    assert ch.upsert(t, s.limit(0), ["k"], {"v": lambda old, new: new("v")}, order=["o"]).count() == 3
+
+
+def test_ranges_of_a_box_are_few_and_cover_it():
+    for dims, low, high, n in ((2, [3, 5], [12, 9], 16), (3, [1, 0, 2], [6, 7, 3], 8), (32, [1] * 32, [2] * 32, 100), (16, [3] * 16, [9] * 16, 50)):
+        begin = time.perf_counter()
+        ranges = zorder.box_ranges(low, high, n)
+        assert time.perf_counter() - begin < 1 and 0 < len(ranges) <= n
+        rnd = random.Random(dims)
+        for _ in range(300):
+            z = zorder._interleave_int([rnd.randint(a, b) for a, b in zip(low, high)])
+            assert any(a <= z <= b for a, b in ranges)
+    exact = zorder.box_ranges([3, 5], [12, 9], 1000)
+    inside = {zorder._interleave_int([x, y]) for x in range(3, 13) for y in range(5, 10)}
+    assert {z for a, b in exact for z in range(a, b + 1)} == inside
+    assert zorder.box_ranges([2, 2], [1, 5]) == []
+
+
+def test_box_filter_beyond_the_sign(spark):
+    df = spark.createDataFrame([tuple((i >> (j % 7)) & 3 for j in range(32)) for i in range(128)], ", ".join(f"c{j} int" for j in range(32)))
+    cols = [f"c{j}" for j in range(32)]
+    placed = df.withColumn("z", zorder.interleave(*[F.col(c) for c in cols]))
+    low, high = [0] * 31 + [1], [3] * 32
+    assert placed.where(zorder.box_filter("z", cols, low, high)).count() == df.where("c31 >= 1").count() > 0
+
+
+def test_descending_concatenation(spark):
+    df = spark.createDataFrame([("b", 1), ("a", None), ("c", 2), ("b", 3), (None, 9)], "x string, o int")
+    one = lambda *o, **kw: df.agg(agg.group_concat(F.col("x"), order=list(o), **kw).alias("v")).first().v
+    assert one(agg.descending("x")) == "c,b,b,a" and one(agg.descending("x"), distinct=True) == "c,b,a"
+    assert one(agg.descending("o")) == "b,c,b,a" and one(F.col("o")) == "a,b,c,b"
+    assert one(F.col("x"), agg.descending("o")) == "a,b,b,c"
+
+
+def test_empty_table_keeps_its_columns(spark, tmp_path):
+    empty = spark.createDataFrame([], "a int, `b,c` string")
+    assert csv_files.write_csv(empty, str(tmp_path / "x")) == 0
+    back = csv_files.read_csv(spark, str(tmp_path / "x"))
+    assert back.columns == ["a", "b,c"] and back.count() == 0
