@@ -137,15 +137,35 @@ def insert(target: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] |
     return target.unionByName(filled)
 
 
+#: Limits up to which the first rows are found by a top-n; beyond, all rows are numbered.
+TOP_ROWS = 100_000
+
+
 def _chosen(df: DataFrame, where: Column, limit: int | None, order: Sequence[str]) -> tuple[DataFrame, Column]:
     hit = F.coalesce(where, F.lit(False))
     if limit is None:
         return df, hit
     if not order:
         raise ValueError("a limit needs an order")
-    # matching rows are numbered first, so the number alone decides and equal or NULL order values are no matter
-    numbered = assign_ids(df.withColumn("__hit", hit), [F.col("__hit").desc(), *order], "__number")
-    return numbered, F.col("__hit") & (F.col("__number") <= limit)
+    if limit > TOP_ROWS:
+        # matching rows are numbered first, so the number alone decides and equal or NULL order values are no matter
+        numbered = assign_ids(df.withColumn("__hit", hit), [F.col("__hit").desc(), *order], "__number")
+        return numbered, F.col("__hit") & (F.col("__number") <= limit)
+    if limit <= 0:
+        return df, F.lit(False)
+    # the last of the first rows is a bound; only rows equal to it need a number, and only if not all of them are wanted
+    at = F.struct(*order)
+    first = df.filter(hit).select(*order).orderBy(*order).limit(limit).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("last")).first()
+    if first.n < limit:
+        return df, hit
+    kinds = dict(df.dtypes)
+    last = F.struct(*[F.lit(first["last"][o]).cast(kinds[o]).alias(o) for o in order])
+    before, same = df.agg(F.count_if(hit & (at < last)), F.count_if(hit & at.eqNullSafe(last))).first()
+    if before + same <= limit:
+        return df, hit & (at <= last)
+    tied = hit & at.eqNullSafe(last)
+    numbered = assign_ids(df.filter(tied), list(order), "__number").unionByName(df.filter(~tied).withColumn("__number", F.lit(0).cast("bigint")))
+    return numbered, hit & ((at < last) | (at.eqNullSafe(last) & (F.col("__number") <= limit - before)))
 
 
 def update(df: DataFrame, set_values: Mapping[str, Column], where: Column, limit: int | None = None,

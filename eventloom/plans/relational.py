@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import conditional as cond
 from eventloom.functions import user
 from eventloom.operators import aggregates as agg
-from eventloom.operators import joins, sets, sql_relations
+from eventloom.operators import joins, sequence, sets, sql_relations
 from eventloom.operators.ids import row_numbers
 from eventloom.plans.mining import batch_sql, controller_sql
 from eventloom.plans.registry import query, sql_query, table, views
@@ -277,9 +277,13 @@ def _(spark, sf):
                      args={"status": "P", "price": 250000})
 
 
-sql_query("running_total_variable", "orders", """SELECT o_custkey, o_orderkey, sum(1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
-ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM orders""", """SELECT o_custkey, o_orderkey, CAST(sum(1) OVER (PARTITION BY o_custkey
+@query("running_total_variable", """SELECT o_custkey, o_orderkey, CAST(sum(1) OVER (PARTITION BY o_custkey
 ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM orders""")
+def _(spark, sf):
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    return sequence.running_total(orders, F.lit(1).cast("bigint"), "n", keys=["o_custkey"], order=["o_orderkey"], by=["o_custkey"])
+
+
 sql_query("select_distinct", "orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 
 # --- joins ------------------------------------------------------------------------------
@@ -367,7 +371,11 @@ def _(spark, sf):
     return boxes.groupBy("p_brand").agg(*joins.envelope_union("a"))
 
 
-sql_query("next_order_join", "orders", """SELECT o_orderkey, o_custkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_key FROM orders""")
+@query("next_order_join", """SELECT o_orderkey, o_custkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_key FROM orders""")
+def _(spark, sf):
+    steps = sequence.neighbours(table(spark, sf, "orders"), F.col("o_orderkey"), keys=["o_custkey"], order=["o_orderdate", "o_orderkey"], endpoints=True)
+    return steps.where(F.col("prev").isNotNull()).select(F.col("prev.v").alias("o_orderkey"), "o_custkey", F.col("next.v").alias("next_key"))
+
 
 # --- aggregation ------------------------------------------------------------------------
 
