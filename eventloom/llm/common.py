@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.session import cut_lineage, scratch_path
@@ -11,11 +14,43 @@ from eventloom.session import cut_lineage, scratch_path
 BROADCAST_ROWS = 200_000
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet below the shared folder and read again, so lost executors cost nothing."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Frees the shuffle files of a query when it has ended. Nothing reads them later: what is kept is in the written table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths written within each open :func:`scratch` block.
+_SCRATCH: list[list[str]] = []
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read again, so lost executors cost nothing.
+
+    Within a :func:`scratch` block the table goes with the block, with ``keep`` with the block around it, if any.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables :func:`stored` inside it; what is used later is stored with ``keep``."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for name in _SCRATCH.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,8 +1,9 @@
 """Near copies by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Equal texts are collapsed first. A shingle's weight is ``(1 + ln tf) * (1 + 0.25 * idf share)``, the document
-frequency being counted in a fixed number of hashed features, so the table of weights never grows. Each
-sample is the least ``ln a`` of the scheme, which two texts share with the probability of
+Equal texts are collapsed first. A shingle's weight is ``(1 + ln tf) * (1 + 0.25 * idf share)``. Document
+frequencies are counted in a fixed number of hashed features, so the table of weights never grows; the load that
+a feature has from unrelated shingles, the median of all, is taken off, and the idf depends on the share of the
+documents alone, so weights do not flatten as the corpus grows. Each sample is the least ``ln a`` of the scheme, which two texts share with the probability of
 their weighted Jaccard similarity. Candidates are verified on their whole texts: every member of a bucket
 against the bucket's first and a few others, which settles nearly all classes. What is left of
 the buckets with several classes is joined by an exact prefix filter, whatever bucket it is in, so that no link
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import components, stored, text_key
+from eventloom.llm.common import components, scratch, stored, text_key
 from eventloom.llm.registry import query
 
 WORDS = 5
@@ -24,14 +25,16 @@ SIMILAR = 0.8
 BANDS, ROWS = 10, 3
 FEATURES = 1 << 18
 IDF_SHARE = 0.25
+#: Share of the documents up to which a shingle counts as rare and has the full idf.
+RARE = 2 ** -10
 #: Mean number of pairs that share one copy of a text which many pairs have.
 PART = 64
-#: Mean number of members of a bucket that are compared with each other after the hubs.
+#: Mean number of members of a bucket that are compared with each other after the hubs; a bucket of no more is compared whole.
 SLOT = 8
 #: Shingles that are sampled together, so that short texts share the cost of a call.
 TOGETHER = 1 << 14
-#: Words whose hashes a task keeps.
-KNOWN_WORDS = 1 << 20
+#: Words whose hashes a Python worker keeps.
+KNOWN_WORDS = 1 << 17
 
 
 def _mix(x):
@@ -70,23 +73,66 @@ def shingles(text: str):
     return values, counts
 
 
+def shingled(texts) -> Iterator:
+    """``places, values, counts, starts`` of about TOGETHER words of ``texts`` at a time: what :func:`shingles` gives
+    for each text with words, end to end, and where each begins. Texts are never split, so a long one is a group of its own.
+    """
+    waiting, size = [], 0
+    for place, text in enumerate(texts):
+        words = text.lower().split()
+        if words:
+            waiting.append((place, words))
+            size += len(words)
+        if size >= TOGETHER:
+            yield _shingled(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield _shingled(waiting)
+
+
+def _shingled(waiting):
+    from itertools import chain
+
+    import numpy as np
+    lens = np.array([len(w) for _, w in waiting])
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(w for _, w in waiting)), np.uint64, lens.sum())
+    first, n = np.cumsum(lens) - lens, np.maximum(1, lens - WORDS + 1)
+    padded, s = np.concatenate([h, np.zeros(WORDS, np.uint64)]), np.zeros(len(h), np.uint64)
+    for i in range(WORDS):
+        s = _mix(s + padded[i:i + len(h)] + np.uint64(i + 1))
+    short = lens < WORDS
+    if short.any():
+        at, has, v = first[short], lens[short], np.zeros(short.sum(), np.uint64)
+        for i in range(WORDS):
+            v = np.where(has > i, _mix(v + padded[at + i] + np.uint64(i + 1)), v)
+        s[at] = v
+    s = s[np.arange(len(h)) - np.repeat(first, lens) < np.repeat(n, lens)]
+    begin = np.cumsum(n) - n
+    for a, b in zip(begin.tolist(), (begin + n).tolist()):
+        s[a:b].sort()
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    new[begin] = True
+    at = np.flatnonzero(new)
+    return [p for p, _ in waiting], s[at], np.diff(at, append=len(s)), np.searchsorted(at, begin)
+
+
 def weights(values, counts, idf):
     import numpy as np
     return (1 + np.log(counts)) * (1 + IDF_SHARE * idf[(values % np.uint64(FEATURES)).astype(np.int64)])
 
 
 def idf_table(texts: DataFrame):
-    """The idf of each hashed feature as a share of the largest one; collected, of fixed length."""
+    """The idf of each hashed feature, from 0 (in all documents) to 1 (in a share of RARE at most); collected, of fixed length."""
     import numpy as np
 
     def run(batches) -> Iterator:
         import pyarrow as pa
         total, docs = np.zeros(FEATURES, np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                v = shingles(t)[0]
+            docs += b.num_rows
+            for _, v, _, _ in shingled(b.column(0).to_pylist()):
                 np.add.at(total, (v % np.uint64(FEATURES)).astype(np.int64), 1)
-                docs += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*total[at], docs], pa.int64())], ["f", "n"])
 
@@ -97,7 +143,8 @@ def idf_table(texts: DataFrame):
             n = max(1, r.n)
         else:
             df[r.f] = r.n
-    return np.clip(np.log((n + 1) / (np.minimum(df, n) + 1)) / np.log(n + 1), 0, 1)
+    share = (df - max(np.median(df), 1)) / n
+    return np.clip(np.log(np.maximum(share, RARE)) / np.log(RARE), 0, 1)
 
 
 def band_keys(values, w, starts):
@@ -169,14 +216,8 @@ def prefix_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(enough).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
-def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """``doc_id, class_id, kept`` for every row: the class is named by its smallest id, whose row is kept.
-
-    Null ids stay rows of their own class (null) and are kept. Null texts and texts without words resemble
-    nothing; equal texts with words always share a class.
-    """
-    light = docs.select("doc_id", text_key().alias("key"), "text")
-    some = light.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
+def _classes(some: DataFrame, threshold: float) -> DataFrame:
+    """``key, class_id`` for each text of ``doc_id, key, text``."""
     texts = stored(some.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("text").alias("text")), "texts")
     idf = texts.sparkSession.sparkContext.broadcast(idf_table(texts))
 
@@ -184,25 +225,10 @@ def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         for b in batches:
-            out, waiting, size = [[]] * b.num_rows, [], 0
-
-            def flush() -> None:
-                starts = np.cumsum([0] + [len(v) for v, _, _ in waiting[:-1]])
-                values, w = (np.concatenate([x[i] for x in waiting]) for i in (0, 1))
-                for (_, _, place), keys in zip(waiting, band_keys(values, w, starts).T):
+            out = [[]] * b.num_rows
+            for places, v, c, starts in shingled(b.column(1).to_pylist()):
+                for place, keys in zip(places, band_keys(v, weights(v, c, idf.value), starts).T):
                     out[place] = keys
-                waiting.clear()
-
-            for place, t in enumerate(b.column(1).to_pylist()):
-                v, c = shingles(t)
-                if len(v):
-                    waiting.append((v, weights(v, c, idf.value), place))
-                    size += len(v)
-                if size >= TOGETHER:
-                    flush()
-                    size = 0
-            if waiting:
-                flush()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "bands"])
 
     signed = stored(texts.select("id", "text").mapInArrow(sign, "id long, bands array<long>"), "bands")
@@ -230,7 +256,7 @@ def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     def compared(pairs: DataFrame, label: str) -> DataFrame:
         """Similarity of ``a, b, n`` pairs; an ``a`` that many pairs have is dealt over parts of about PART pairs each."""
         part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).alias("part")
-        dealt = pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", part)
+        dealt = stored(pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", part), f"{label}_pairs")
         first = dealt.select("a", "part").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
         second = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
         joined = second.join(first, ["a", "part"]).select("a", "b", "s", "t")
@@ -265,11 +291,24 @@ def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     some = dealt.join(mate, ["band", "bucket", "slot"]).where(
         (F.col("id") < F.col("b")) & (F.col("root") != F.col("q")) & (F.abs(F.col("alike") - F.col("v")) <= 1 - threshold + 1e-9))
     roots = merged(compared(some.select(F.col("id").alias("a"), "b", "n"), "some"))
-    # then, exactly, all that can still be linked: texts of different classes whose prefixes share a shingle
-    open_ = unsettled("open").groupBy("id").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("stray"))
+    # then, exactly, all that can still be linked: texts of different classes whose prefixes share a shingle, in buckets
+    # of several slots; of the others all pairs have been compared
+    open_ = unsettled("open").where(F.col("n") > SLOT).groupBy("id").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("stray"))
     rest = prefix_pairs(weighed(texts.join(open_, "id"), idf), threshold)
     roots = merged(compared(rest.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a"))), "rest"))
-    classes = texts.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
+    return texts.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
+
+
+def near_copies(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """``doc_id, class_id, kept`` for every row: the class is named by its smallest id, whose row is kept.
+
+    Null ids stay rows of their own class (null) and are kept. Null texts and texts without words resemble
+    nothing; equal texts with words always share a class.
+    """
+    light = docs.select("doc_id", text_key().alias("key"), "text")
+    some = light.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
+    with scratch(docs.sparkSession):
+        classes = stored(_classes(some, threshold), "classes", keep=True)
     return (light.select("doc_id", "key").join(classes, "key", "left")
             .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))))

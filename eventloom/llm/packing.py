@@ -9,6 +9,7 @@ data. Picks that leave slack are laid end to end and cut at the window instead.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,8 +23,9 @@ WINDOW = 1024
 _PLAIN_BELOW = "ƀ"
 
 
+@functools.cache
 def _encoder(path: str):
-    """texts -> lists of ids, the ids of ``path``."""
+    """texts -> lists of ids, the ids of ``path``; built once a Python worker."""
     import base64
     import os
     import re

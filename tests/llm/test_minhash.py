@@ -1,6 +1,10 @@
+import os
+
 import numpy as np
 
-from eventloom.llm.minhash import near_copies, op1_minhash, prefix_pairs
+from eventloom.llm.common import scratch, stored
+from eventloom.llm.minhash import idf_table, near_copies, op1_minhash, prefix_pairs, shingled, shingles
+from eventloom.session import shared_dir
 
 SF = "/root/testdata/sf0.01"
 
@@ -49,3 +53,38 @@ def test_prefix_pairs_lose_no_link(spark):
             if a // 2 != b // 2 and (a % 3 or b % 3) and both >= 0.8 * (sum(x.values()) + sum(y.values()) - both):
                 wanted.add((a, b))
     assert len(wanted) > 100 and wanted <= got and len(got) < 120 * 119 / 2
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(5)
+    texts = ["", " \t", "one", "one two", "a b c d", "a b c d e", "x " * 9, "\u00a0", "A b C d e f"]
+    texts += [" ".join(f"w{k}" for k in rng.integers(0, 40, n)) for n in (3, 700, 30_000, 5, 4, 90)]
+    got = {}
+    for places, values, counts, starts in shingled(texts):
+        ends = [*starts[1:], len(values)]
+        got |= {p: (values[a:b].tolist(), counts[a:b].tolist()) for p, a, b in zip(places, starts, ends)}
+    want = {p: (v.tolist(), c.tolist()) for p, (v, c) in enumerate(map(shingles, texts)) if len(v)}
+    assert got == want and len(got) == len(texts) - 3
+
+
+def test_idf_depends_on_the_share_of_documents_alone(spark):
+    def table(n):
+        rows = [(" ".join([f"own{i}x{k}" for k in range(200)] + (["these words stand here often"] if i % 4 == 0 else [])),) for i in range(n)]
+        return idf_table(spark.createDataFrame(rows, "text string"))
+    value = shingles("these words stand here often")[0][0]
+    small, large = table(200), table(4000)
+    at = int(value % np.uint64(len(small)))
+    assert abs(small[at] - 0.2) < 0.02 and abs(large[at] - 0.2) < 0.02
+    assert small.mean() > 0.9 and large.mean() > 0.9
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    base = shared_dir(spark).removeprefix("file://") + "/eventloom"
+    with scratch(spark):
+        with scratch(spark):
+            gone = stored(spark.range(3), "inner")
+            kept = stored(gone, "outer", keep=True)
+        assert kept.count() == 3
+        names = os.listdir(base)
+        assert any(n.startswith("outer-") for n in names) and not any(n.startswith("inner-") for n in names)
+    assert not any(n.startswith("outer-") for n in os.listdir(base))
