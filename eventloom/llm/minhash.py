@@ -33,38 +33,27 @@ PART = 64
 SLOT = 8
 #: Shingles that are sampled together, so that short texts share the cost of a call.
 TOGETHER = 1 << 14
-#: Words whose hashes a Python worker keeps.
-KNOWN_WORDS = 1 << 17
 
 
 def _mix(x):
     import numpy as np
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hashes(dict):
-    """Hash of each word met; emptied when it has grown long."""
-
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh3_64_intdigest
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def shingles(text: str):
     """Distinct hashes of the text's five-word shingles and how often each occurs; all its words if fewer."""
     import numpy as np
+    from xxhash import xxh3_64_intdigest
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS + 1)
     s = np.zeros(n, np.uint64)
     for i in range(min(WORDS, len(h))):
@@ -94,8 +83,9 @@ def _shingled(waiting):
     from itertools import chain
 
     import numpy as np
+    from xxhash import xxh3_64_intdigest
     lens = np.array([len(w) for _, w in waiting])
-    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(w for _, w in waiting)), np.uint64, lens.sum())
+    h = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(w for _, w in waiting)), np.uint64, lens.sum())
     first, n = np.cumsum(lens) - lens, np.maximum(1, lens - WORDS + 1)
     padded, s = np.concatenate([h, np.zeros(WORDS, np.uint64)]), np.zeros(len(h), np.uint64)
     for i in range(WORDS):
