@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import components, scratch, stored, text_key
+from eventloom.llm.common import components, scratch, small_side, stored, text_key
 from eventloom.llm.registry import query
 
 WORDS = 5
@@ -247,8 +247,9 @@ def _classes(some: DataFrame, threshold: float) -> DataFrame:
         """Similarity of ``a, b, n`` pairs; an ``a`` that many pairs have is dealt over parts of about PART pairs each."""
         part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).alias("part")
         dealt = stored(pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", part), f"{label}_pairs")
-        first = dealt.select("a", "part").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
-        second = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
+        # texts stay where they are if the pairs are few enough to be sent to them
+        first = small_side(dealt.select("a", "part").distinct()).join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
+        second = small_side(dealt).join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
         joined = second.join(first, ["a", "part"]).select("a", "b", "s", "t")
         return stored(joined.mapInArrow(verify, "a long, b long, alike double"), label)
 
@@ -283,8 +284,9 @@ def _classes(some: DataFrame, threshold: float) -> DataFrame:
     roots = merged(compared(some.select(F.col("id").alias("a"), "b", "n"), "some"))
     # then, exactly, all that can still be linked: texts of different classes whose prefixes share a shingle, in buckets
     # of several slots; of the others all pairs have been compared
-    open_ = unsettled("open").where(F.col("n") > SLOT).groupBy("id").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("stray"))
-    rest = prefix_pairs(weighed(texts.join(open_, "id"), idf), threshold)
+    several = unsettled("open").where(F.col("n") > SLOT)
+    open_ = stored(several.groupBy("id").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("stray")), "open_ids")
+    rest = prefix_pairs(weighed(texts.join(small_side(open_), "id"), idf), threshold)
     roots = merged(compared(rest.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a"))), "rest"))
     return texts.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("class_id"))
 
