@@ -1,10 +1,11 @@
-"""Near copies of vectors: exact in blocks, by NN-descent for labels too large for that.
-
-Equal vectors are collapsed. A label of at most EXACT vectors is compared block against block. A larger one starts
-with neighbours that share the signs of random projections, as many tables of them as make a pair at the threshold
-meet almost surely, refined by comparing the neighbours of each node with each other. A sample of each such label is
-then compared with all its vectors; labels whose links were missed are compared exactly after all. Links give
-components, inside which all pairs are compared in blocks, so link counts are exact there.
+"""Near copies of vectors by NN-descent, audited on a sample of every label.
+
+Equal vectors are collapsed. Every label, whatever its size, starts with neighbours that share the signs of random
+projections, as many tables of them as make a pair at the threshold meet almost surely, refined by comparing the
+neighbours of each node with each other; a list full of links grows. A sample of each label is then compared with
+all its vectors; labels whose links were missed are compared exactly after all, block against block. A label whose
+sample has no link is unmeasured and rests on the tables. Links give components, inside which all pairs are compared
+in blocks, so link counts are exact there.
 """
 
 from __future__ import annotations
@@ -20,12 +21,10 @@ from eventloom.session import cut_lineage
 
 THRESHOLD = 0.93
 LIST = 8
-#: Vectors of one label up to which all its pairs are compared.
-EXACT = 8192
 #: Vectors that meet in one group of a table, about; and the chance that a pair at the threshold meets in no table.
 GROUP = 256
 MISSED = 0.001
-#: Vectors of each large label compared with all the others, and the share of their links that has to be found.
+#: Vectors of each label compared with all the others, and the share of their links that has to be found.
 SAMPLE = 64
 RECALL = 0.99
 #: Rows of a block; labels and components are compared block against block.
@@ -51,22 +50,27 @@ def _local(groups: DataFrame, size: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         for b in batches:
-            a, c, s = [], [], []
-            for group in b.column(0).to_pylist():
-                group = list({m["id"]: m for m in group}.values())
-                if len(group) < 2:
-                    continue
-                for length in {len(m["vec"]) for m in group}:
-                    same = [m for m in group if len(m["vec"]) == length]
-                    ids, x = np.array([m["id"] for m in same]), _unit([m["vec"] for m in same])
+            a, c, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            members = b.column(0)
+            ids, vec = (members.values.field(k) for k in ("id", "vec"))
+            ids, ends, data = ids.to_numpy(), vec.offsets.to_numpy(), vec.values.to_numpy(zero_copy_only=False)
+            starts = members.offsets.to_numpy()
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                at = lo + np.unique(ids[lo:hi], return_index=True)[1]
+                lengths = ends[at + 1] - ends[at]
+                for length in np.unique(lengths):
+                    rows = at[lengths == length]
+                    if len(rows) < 2:
+                        continue
+                    x = _unit(data[ends[rows][:, None] + np.arange(length)])
                     sims = x @ x.T
                     np.fill_diagonal(sims, -2)
-                    top = np.argsort(-sims, axis=1)[:, :min(size, len(same) - 1)]
-                    for i, row in enumerate(top):
-                        a += [int(ids[i])] * len(row)
-                        c += ids[row].tolist()
-                        s += sims[i, row].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], ["u", "v", "s"])
+                    most = min(size, len(rows) - 1)
+                    top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+                    a.append(np.repeat(ids[rows], most))
+                    c.append(ids[rows][top].ravel())
+                    s.append(np.take_along_axis(sims, top, 1).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)) for k in (a, c, s)], ["u", "v", "s"])
 
     return groups.select("members").mapInArrow(run, "u long, v long, s double")
 
@@ -203,8 +207,11 @@ def audit(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     return stored(found.join(nodes.select(F.col("id").alias("u"), "label"), "u"), "audit")
 
 
-def near_vectors(vectors: DataFrame, exact: int = EXACT) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row; unusable vectors and null labels link with nothing."""
+def near_vectors(vectors: DataFrame, exact: int = 0) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row; unusable vectors and null labels link with nothing.
+
+    ``exact`` is the number of vectors up to which a label is compared whole instead, for checks of the descent.
+    """
     good = usable(vectors).select("vec_id", "label", "embedding", F.xxhash64("label", "embedding").alias("k"))
     nodes = stored(good.groupBy("label", "k").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("vec"))
                    .select("id", "label", "k", "copies", "vec"), "nodes")

@@ -20,6 +20,10 @@ def test_against_all_pairs(spark):
     for i in range(300):
         assert got[i].n_links == link[i].sum(), i
         assert got[i].component_id <= i
+    smallest = np.arange(300)
+    for _ in range(300):
+        smallest = np.where(link, smallest[None, :], smallest[:, None]).min(1)
+    assert [got[i].component_id for i in range(300)] == smallest.tolist()
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
 
 
@@ -51,3 +55,9 @@ def test_groups_of_a_dense_cell_are_bounded(spark):
     nodes = spark.createDataFrame([(i, 1, [float(f) for f in v]) for i, v in enumerate(x)], "id long, label int, vec array<float>")
     sizes = [r[0] for r in start_groups(nodes).selectExpr("size(members)").collect()]
     assert max(sizes) <= 1.5 * GROUP and sum(sizes) % 3000 == 0
+
+
+def test_descent_finds_what_all_pairs_give(spark):
+    docs = spark.createDataFrame(isolated(150), "vec_id long, embedding array<float>, label int").selectExpr("vec_id", "embedding", "vec_id % 4 div 2 label")
+    descent, whole = ({(r.vec_id, r.n_links, r.component_id) for r in near_vectors(docs, exact).collect()} for exact in (0, 1 << 40))
+    assert sum(n for _, n, _ in whole) == 300 and len(descent & whole) >= 0.99 * len(whole)
