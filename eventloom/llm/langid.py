@@ -7,7 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import small_side
 from eventloom.llm.registry import query
+from eventloom.session import cut_lineage
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -95,23 +97,24 @@ def _windows(data: bytes):
 def train(labelled: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> ByteNet | None:
     """Fits on a bounded sample of ``text, lang`` rows; None if there is no label.
 
-    Rows are chosen by a hash of ``key``, as many of each language; windows come from all over a text.
+    Rows are chosen by a hash of ``key``, about as many of each language, however many languages there are; windows
+    come from all over a text. The sample's languages are the classes.
     """
     import numpy as np
     rows = labelled.where("lang is not null and text is not null and length(text) > 0")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.col("n").desc(), "lang").limit(500).collect()}
-    if not counts:
+    sizes = cut_lineage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    languages = sizes.count()
+    if not languages:
         return None
-    each = max(1, sample_rows // len(counts))
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))]), F.col("lang"))
+    each = max(1, sample_rows // languages)
+    shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
     u = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 20)) / (1 << 20)
     step = F.greatest(F.floor(F.length("text") / ROW_WINDOWS), F.lit(WINDOW))
     cuts = F.transform(F.sequence(F.lit(0), F.lit(ROW_WINDOWS - 1)),
                        lambda i: F.substring(F.col("text"), (i * step + 1).cast("int"), F.lit(WINDOW)))
-    sample = (rows.where(u < share).select("lang", cuts.alias("cuts"), F.xxhash64(key).alias("k"))
+    sample = (rows.join(small_side(shares), "lang").where(u < F.col("share")).select("lang", cuts.alias("cuts"), F.xxhash64(key).alias("k"))
               .orderBy("k", "lang").limit(2 * sample_rows).collect())
-    labels, rng = sorted(counts), np.random.default_rng(3)
+    labels, rng = sorted({r.lang for r in sample}), np.random.default_rng(3)
     x, y = [], []
     for r in sample:
         for c in r.cuts:

@@ -21,3 +21,9 @@ def test_cases(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     empty = docs.limit(0)
     assert train(empty) is None and identify(empty, None).count() == 0
+
+
+def test_every_language_is_a_class(spark):
+    rows = [(i, f"word{i % 700} text{i % 700}", f"l{i % 700:03}") for i in range(2800)]
+    net = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=2800)
+    assert len(net.labels) == 700
