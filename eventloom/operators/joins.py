@@ -2,17 +2,25 @@
 
 Cells come in levels: an interval of length d lives on the smallest level whose cell is
 at least d wide, so it touches two cells there at most, however long it is. Nothing is
-replicated by its length, and no pair is found twice.
+replicated by its length, and no pair is found twice. Cells with many rows are cut into blocks,
+which are dealt over as many tasks as the pairs to be compared need.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The level of intervals whose length is no finite number; it has one cell.
 _OPEN = 4096
 
+#: Rows of one side that a block has, about.
+BLOCK = 2048
+#: Pairs that a task compares, and rows that it reads, about.
+TASK_PAIRS, TASK_ROWS = 32_000_000, 500_000
+
 
 def _level(extent: Column, unit: float) -> Column:
     """Smallest k >= 0 with ``unit * 2^k >= extent``; never less, however long the interval."""
@@ -27,6 +35,40 @@ def _cell(x: Column, level: Column, unit: float) -> Column:
         F.floor(x / (F.pow(F.lit(2.0), level) * unit)).cast("bigint"))
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of the row; maps have none and are left out."""
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64("*") if len(plain) == len(df.columns) else F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
+def _meet(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``a JOIN b USING (keys)`` for keys that hold any number of rows on both sides.
+
+    The rows of a key are dealt by their hash into blocks of about BLOCK rows, and each block of one side meets
+    each of the other: a block is a join key of its own, and a row is copied once per block of
+    the other side. Rows and pairs are counted first, and the number of tasks follows them.
+    """
+    keys = list(keys)
+    size = lambda df, out: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+    cells = size(a, "__na").join(size(b, "__nb"), keys, "full").fillna(0, ["__na", "__nb"])
+    count = cells.agg(F.sum(F.col("__na") + F.col("__nb")).alias("rows"), F.sum(F.col("__na").cast("double") * F.col("__nb")).alias("pairs")).first()
+    tasks = 1 + int(count.pairs or 0) // TASK_PAIRS + int(count.rows or 0) // TASK_ROWS
+    in_blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    # keys with more than BLOCK rows on a side: few beside the rows
+    full = F.broadcast(cells.where((F.least("__na", "__nb") > 0) & (F.greatest("__na", "__nb") > BLOCK))
+                       .select(*keys, in_blocks("__na").alias("__ba"), in_blocks("__nb").alias("__bb")))
+
+    def dealt(df, own, other):
+        # of the same type as the copies, or the join would deal both sides anew
+        mine = F.pmod("__h", F.coalesce(f"__b{own}", F.lit(1))).cast("int").alias(f"__{own}")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(f"__b{other}", F.lit(1)) - 1)).alias(f"__{other}")
+        rows = df.withColumn("__h", _row_hash(df)).join(full, keys, "left").select("*", mine, copies)
+        return rows.drop("__h", "__ba", "__bb").repartition(tasks, *keys, "__a", "__b")
+
+    # a broadcast would leave all pairs to the few tasks that read the other side
+    return dealt(a, "a", "b").join(dealt(b, "b", "a").hint("merge"), [*keys, "__a", "__b"]).drop("__a", "__b")
+
+
 def range_join(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str, unit: float = 1.0,
                how: str = "inner") -> DataFrame:
     """``points JOIN intervals ON x BETWEEN lo AND hi``; ``how`` is inner, left_semi or left_anti.
@@ -65,34 +107,33 @@ def intersects(a: str, b: str) -> Column:
 def bbox_join(left: DataFrame, right: DataFrame, lp: str, rp: str, unit: float = 1.0) -> DataFrame:
     """Pairs of overlapping boxes. ``lp`` and ``rp`` prefix the box columns of each side.
 
-    A pair meets on the coarser of its two levels: each box is laid out once on its own
-    level and once on every coarser level the other side uses (four cells each at most).
+    Width and height have levels of their own, so a long thin box lies in few cells of its shape. A pair meets on
+    the coarser of its two levels along each axis: each box is laid out once for every pair of levels the other
+    side uses (four cells each at most), and both sides' levels are part of the key.
     The pair is kept in the cell of the lower left corner of the overlap only, so
     no removal of duplicates is needed.
     """
     def own_level(p):
-        w = F.greatest(F.col(f"{p}xmax") - F.col(f"{p}xmin"), F.col(f"{p}ymax") - F.col(f"{p}ymin")).cast("double")
-        return _level(w, unit)
-
-    both = lambda df, p, other_df, q: F.array_union(
-        df.agg(F.collect_set(own_level(p))).scalar(), other_df.agg(F.collect_set(own_level(q))).scalar())
-
-    def laid_out(df, p, levels, tag):
-        df = df.withColumn(f"__l{tag}", own_level(p))
-        df = df.withColumn("__lvl", F.explode(levels)).filter(F.col("__lvl") >= F.col(f"__l{tag}"))
-        cells = lambda lo, hi: F.sequence(_cell(F.col(lo).cast("double"), F.col("__lvl"), unit),
-                                          _cell(F.col(hi).cast("double"), F.col("__lvl"), unit))
-        df = df.withColumn("__cx", F.explode(cells(f"{p}xmin", f"{p}xmax")))
-        return df.withColumn("__cy", F.explode(cells(f"{p}ymin", f"{p}ymax")))
-
-    lv = both(left, lp, right, rp)
-    a, b = laid_out(left, lp, lv, "a"), laid_out(right, rp, lv, "b")
-    corner_x = _cell(F.greatest(f"{lp}xmin", f"{rp}xmin").cast("double"), F.col("__lvl"), unit)
-    corner_y = _cell(F.greatest(f"{lp}ymin", f"{rp}ymin").cast("double"), F.col("__lvl"), unit)
-    return (a.join(b, ["__lvl", "__cx", "__cy"])
-            .filter((F.col("__lvl") == F.greatest("__la", "__lb")) & intersects(lp, rp)
-                    & (F.col("__cx") == corner_x) & (F.col("__cy") == corner_y))
-            .drop("__lvl", "__cx", "__cy", "__la", "__lb"))
+        across, up = (_level((F.col(f"{p}{c}max") - F.col(f"{p}{c}min")).cast("double"), unit) for c in "xy")
+        return across * (2 * _OPEN) + up
+
+    # along each axis the coarser of the two levels
+    along = {"x": lambda c: F.floor(F.col(c) / (2 * _OPEN)), "y": lambda c: F.col(c) % (2 * _OPEN)}
+    coarser = {c: F.greatest(f("__la"), f("__lb")) for c, f in along.items()}
+
+    def laid_out(df, p, own, other_df, q, other):
+        levels = other_df.agg(F.collect_set(own_level(q))).scalar()
+        df = df.withColumn(f"__l{own}", own_level(p)).withColumn(f"__l{other}", F.explode(levels))
+        for c in "xy":
+            lo, hi = (_cell(F.col(f"{p}{c}{m}").cast("double"), coarser[c], unit) for m in ("min", "max"))
+            df = df.withColumn(f"__c{c}", F.explode(F.sequence(lo, hi)))
+        return df
+
+    a, b = laid_out(left, lp, "a", right, rp, "b"), laid_out(right, rp, "b", left, lp, "a")
+    corner = {c: _cell(F.greatest(f"{lp}{c}min", f"{rp}{c}min").cast("double"), coarser[c], unit) for c in "xy"}
+    return (_meet(a, b, ["__la", "__lb", "__cx", "__cy"])
+            .filter(intersects(lp, rp) & (F.col("__cx") == corner["x"]) & (F.col("__cy") == corner["y"]))
+            .drop("__cx", "__cy", "__la", "__lb"))
 
 
 def envelope_union(p: str = "") -> list[Column]:

@@ -335,3 +335,24 @@ def test_empty_table_keeps_its_columns(spark, tmp_path):
     assert csv_files.write_csv(empty, str(tmp_path / "x")) == 0
     back = csv_files.read_csv(spark, str(tmp_path / "x"))
     assert back.columns == ["a", "b,c"] and back.count() == 0
+
+
+def most_in_a_task(df):
+    """Share of the rows that the fullest task made."""
+    made = [r["count"] for r in df.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    return max(made) / sum(made)
+
+
+def test_box_join_deals_a_crowded_place_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 3000, raising=False)
+    rnd, inf = random.Random(5), float("inf")
+    # long thin boxes, all in one place, some of them twice, open, or without a corner
+    box = lambda i: (i, x := rnd.uniform(0, 50), y := rnd.uniform(0, 100), x + rnd.choice([0, 2]), y + rnd.choice([0, 3, 90]))
+    odd = [(900, -inf, 5.0, inf, 6.0), (901, 3.0, -inf, 4.0, inf), (902, None, 1.0, 2.0, 3.0), (903, 7.0, 7.0, 6.0, 8.0)]
+    a, b = ([box(i) for i in range(300)] + odd for _ in "ab")
+    a += a[:5]
+    fields = lambda p: f"{p}id int, {p}xmin double, {p}ymin double, {p}xmax double, {p}ymax double"
+    got = joins.bbox_join(spark.createDataFrame(a, fields("a")).coalesce(1), spark.createDataFrame(b, fields("b")).coalesce(1), "a", "b", 4.0).select("aid", "bid")
+    want = [(p[0], q[0]) for p in a for q in b if None not in p + q and p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]]
+    assert rows(got) == sorted(want, key=repr) and most_in_a_task(got) < 0.5
