@@ -84,9 +84,9 @@ def range_join(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str
     levels = intervals.filter(F.col(lo) <= F.col(hi)).select(
         _level(F.col(hi).cast("double") - F.col(lo).cast("double"), unit).alias("l")).agg(F.collect_set("l")).scalar()
     if how == "inner":
-        p = points.withColumn("__lvl", F.explode(levels))
+        p = points.filter(F.col(x).isNotNull()).withColumn("__lvl", F.explode(levels))
         p = p.withColumn("__cell", _cell(F.col(x).cast("double"), F.col("__lvl"), unit))
-        return (p.join(v, ["__lvl", "__cell"]).filter(F.col(x).between(F.col(lo), F.col(hi))).drop("__lvl", "__cell"))
+        return _meet(p, v, ["__lvl", "__cell"]).filter(F.col(x).between(F.col(lo), F.col(hi))).drop("__lvl", "__cell")
     # Semi and anti joins decide per distinct value, which is then looked up.
     values = points.select(F.col(x).alias("__x")).filter(F.col("__x").isNotNull()).distinct()
     found = range_join(values, "__x", intervals.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi")),

@@ -356,3 +356,15 @@ def test_box_join_deals_a_crowded_place_over_tasks(spark, monkeypatch):
     got = joins.bbox_join(spark.createDataFrame(a, fields("a")).coalesce(1), spark.createDataFrame(b, fields("b")).coalesce(1), "a", "b", 4.0).select("aid", "bid")
     want = [(p[0], q[0]) for p in a for q in b if None not in p + q and p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]]
     assert rows(got) == sorted(want, key=repr) and most_in_a_task(got) < 0.5
+
+
+def test_range_join_deals_a_crowded_cell_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 3000, raising=False)
+    rnd = random.Random(6)
+    pts = [(i, rnd.choice([1.0, rnd.uniform(0, 3)])) for i in range(300)] + [(900, None), (0, 1.0), (0, 1.0)]
+    ivs = [(i, a, a + rnd.choice([0.0, 1.0, 2.0])) for i, a in enumerate(rnd.uniform(0, 2) for _ in range(300))] + [(900, None, 2.0), (0, 1.0, 1.0), (0, 1.0, 1.0)]
+    p, v = spark.createDataFrame(pts, "i int, x double").coalesce(1), spark.createDataFrame(ivs, "j int, lo double, hi double").coalesce(1)
+    got = joins.range_join(p, "x", v, "lo", "hi", 4.0).select("i", "j")
+    want = [(i, j) for i, x in pts for j, lo, hi in ivs if None not in (x, lo) and lo <= x <= hi]
+    assert rows(got) == sorted(want, key=repr) and most_in_a_task(got) < 0.5
