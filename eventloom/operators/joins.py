@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.sequence import running_total
+
 #: The level of intervals whose length is no finite number; it has one cell.
 _OPEN = 4096
 
@@ -71,29 +73,49 @@ def _meet(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def range_join(points: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str, unit: float = 1.0,
                how: str = "inner") -> DataFrame:
-    """``points JOIN intervals ON x BETWEEN lo AND hi``; ``how`` is inner, left_semi or left_anti.
+    """``points JOIN intervals ON x BETWEEN lo AND hi``; ``how`` is inner, left_semi, left_anti or count.
 
     ``unit`` is the finest cell width; any positive value is right, one near the usual
     interval length is fast. A point is compared on the levels that occur among
     the intervals; those with infinite ends share one cell.
+
+    ``count`` gives what ``inner`` grouped by all columns of ``intervals`` and counted as ``n`` gives. Neither it
+    nor the semi and anti joins make pairs: they are read off running counts along the order of the values.
     """
-    v = intervals.withColumn("__lvl", _level(F.col(hi).cast("double") - F.col(lo).cast("double"), unit))
-    a, b = (_cell(F.col(c).cast("double"), F.col("__lvl"), unit) for c in (lo, hi))
-    v = (v.filter(F.col(lo) <= F.col(hi))
-         .withColumn("__cell", F.explode(F.when(a == b, F.array(a)).otherwise(F.array(a, b)))))
-    levels = intervals.filter(F.col(lo) <= F.col(hi)).select(
-        _level(F.col(hi).cast("double") - F.col(lo).cast("double"), unit).alias("l")).agg(F.collect_set("l")).scalar()
+    proper = intervals.filter(F.col(lo) <= F.col(hi))
     if how == "inner":
-        p = points.filter(F.col(x).isNotNull()).withColumn("__lvl", F.explode(levels))
+        level = _level(F.col(hi).cast("double") - F.col(lo).cast("double"), unit)
+        v = proper.withColumn("__lvl", level)
+        a, b = (_cell(F.col(c).cast("double"), F.col("__lvl"), unit) for c in (lo, hi))
+        v = v.withColumn("__cell", F.explode(F.when(a == b, F.array(a)).otherwise(F.array(a, b))))
+        p = points.filter(F.col(x).isNotNull()).withColumn("__lvl", F.explode(proper.select(level.alias("l")).agg(F.collect_set("l")).scalar()))
         p = p.withColumn("__cell", _cell(F.col(x).cast("double"), F.col("__lvl"), unit))
         return _meet(p, v, ["__lvl", "__cell"]).filter(F.col(x).between(F.col(lo), F.col(hi))).drop("__lvl", "__cell")
+    number = F.count(F.lit(1)).cast("bigint").alias("w")
+    none = F.lit(0).cast("bigint")
+    if how == "count":
+        ends = proper.select(F.struct("*").alias("iv"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+        tie = F.xxhash64("lo", "hi") if any("map<" in f.dataType.simpleString() for f in intervals.schema.fields) else F.xxhash64("iv")
+        at = points.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("v")).agg(number)
+        end = lambda c, kind: ends.select("iv", F.col(c).alias("v"), F.lit(kind).alias("kind"), none.alias("w"), tie.alias("tie"))
+        swept = _running(end("lo", 0).unionByName(end("hi", 2)).unionByName(
+            at.select("v", F.lit(1).alias("kind"), "w", none.alias("tie")), allowMissingColumns=True))
+        inside = F.sum(F.when(F.col("kind") == 2, F.col("total")).otherwise(-F.col("total"))).alias("n")
+        return swept.filter("kind <> 1").groupBy("iv").agg(inside).filter("n > 0").select("iv.*", "n")
     # Semi and anti joins decide per distinct value, which is then looked up.
-    values = points.select(F.col(x).alias("__x")).filter(F.col("__x").isNotNull()).distinct()
-    found = range_join(values, "__x", intervals.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi")),
-                       "__lo", "__hi", unit).select("__x").distinct()
+    sides = [proper.groupBy(F.col(lo).alias("v")).agg(number).withColumn("kind", F.lit(0)),
+             proper.groupBy(F.col(hi).alias("v")).agg((-number).alias("w")).withColumn("kind", F.lit(2)),
+             points.filter(F.col(x).isNotNull()).select(F.col(x).alias("v")).distinct().select("v", none.alias("w"), F.lit(1).alias("kind"))]
+    swept = _running(sides[0].unionByName(sides[1]).unionByName(sides[2]).withColumn("tie", none))
+    found = swept.filter("kind = 1 and total > 0").select(F.col("v").alias("__x"))
     return points.join(found, points[x] == found["__x"], how)
 
 
+def _running(rows: DataFrame) -> DataFrame:
+    """``total``: the sum of ``w`` up to each row, by value; at one value begins (kind 0) come before points (1) and ends (2)."""
+    return running_total(rows.withColumn("one", F.lit(1)), F.col("w"), "total", keys=["one"], order=["v", "kind", "tie"], by=["one"])
+
+
 _BOX = ("xmin", "ymin", "xmax", "ymax")
 
 

@@ -329,7 +329,8 @@ ON c_acctbal BETWEEN s_acctbal AND s_acctbal + pow(2, s_suppkey % 14) GROUP BY 1
 def _(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("lo"),
                                             (F.col("s_acctbal") + F.pow(F.lit(2.0), F.col("s_suppkey") % 14)).alias("hi"))
-    return (joins.range_join(table(spark, sf, "customer"), "c_acctbal", s, "lo", "hi").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n")))
+    return (joins.range_join(table(spark, sf, "customer"), "c_acctbal", s, "lo", "hi", how="count")
+            .groupBy("s_suppkey").agg(F.sum("n").alias("n")))
 
 
 @query("range_semi_join", f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE c_acctbal BETWEEN {_BAND})")

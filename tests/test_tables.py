@@ -368,3 +368,23 @@ def test_range_join_deals_a_crowded_cell_over_tasks(spark, monkeypatch):
     got = joins.range_join(p, "x", v, "lo", "hi", 4.0).select("i", "j")
     want = [(i, j) for i, x in pts for j, lo, hi in ivs if None not in (x, lo) and lo <= x <= hi]
     assert rows(got) == sorted(want, key=repr) and most_in_a_task(got) < 0.5
+
+
+@pytest.mark.parametrize("route", ["ordinary", "hot"])
+def test_range_join_counts_without_pairs(spark, request, route):
+    if route == "hot":
+        request.getfixturevalue("all_hot")
+    nan, inf = float("nan"), float("inf")
+    at = [0.0, -0.0, 1.0, 1.0, 2.5, nan, nan, inf, -inf, None]
+    ivs = [(1, 0.0, 1.0), (2, -0.0, 0.0), (3, 1.0, 1.0), (3, 1.0, 1.0), (4, 2.0, 1.0), (5, -inf, inf), (6, 2.0, nan), (7, 1.5, 2.0), (8, None, 9.0), (None, 1.0, 3.0)]
+    rnd = random.Random(7)
+    at += [float(rnd.randint(0, 60)) for _ in range(400)]
+    ivs += [(100 + i, a, a + 2.0 ** (i % 7)) for i, a in enumerate(float(rnd.randint(0, 60)) for _ in range(90))]
+    p, v = spark.createDataFrame([(x,) for x in at], "x double"), spark.createDataFrame(ivs, "j int, lo double, hi double")
+    plain = p.crossJoin(v).where(F.col("x").between(F.col("lo"), F.col("hi")))
+    got = joins.range_join(p, "x", v, "lo", "hi", how="count").groupBy("j").agg(F.sum("n").alias("n"))
+    assert rows(got) == rows(plain.groupBy("j").count())
+    # points of one value, and NaN among them, are looked up whole
+    hit = plain.select("x").distinct()
+    assert joins.range_join(p, "x", v, "lo", "hi", how="left_semi").count() == p.join(hit, "x", "left_semi").count()
+    assert joins.range_join(p, "x", v, "lo", "hi", how="left_anti").count() == p.join(hit, "x", "left_anti").count()
