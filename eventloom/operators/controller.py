@@ -72,7 +72,7 @@ def _counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _ordinary_cases(log: DataFrame) -> DataFrame:
     """All steps are partitioned by the case: one shuffle, of the events themselves."""
     w = Window.partitionBy("case").orderBy("ms", "tie")
-    events = log.repartition("case").select("case", "label", F.row_number().over(w).cast("bigint").alias("at"))
+    events = log.select("case", "label", F.row_number().over(w).cast("bigint").alias("at"))
     return _counts(_beside_labels(events, _spans(events), ["case"]), _KEYS)
 
 
@@ -144,7 +144,7 @@ def _columns_ordinary(log: DataFrame, labels: list[str]) -> DataFrame:
     w = Window.partitionBy("case").orderBy("ms", "tie")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    events = log.repartition("case").withColumn("at", F.row_number().over(w).cast("bigint"))
+    events = log.withColumn("at", F.row_number().over(w).cast("bigint"))
     here = _at_label(labels)
     return events.select("label", "at", *[F.max(c).over(so_far).alias(f"p{j}") for j, c in enumerate(here)],
                          *[F.min(c).over(whole).alias(f"f{j}") for j, c in enumerate(here)],

@@ -25,7 +25,7 @@ def _batch_pairs(log: DataFrame, hot: Hot) -> DataFrame:
     how = {"payload": F.col("batch"), "order": ("ms",), "batch_of": F.collect_list(F.struct("label", "n"))}
     # Ordinary cases are counted after their one shuffle. A hot case is counted before it,
     # on the map side: it may have any number of events at one time.
-    steps = neighbours_ordinary(count(cold.repartition("case")), **how)
+    steps = neighbours_ordinary(count(cold), **how)
     if warm is not None:
         steps = steps.unionByName(neighbours_hot(count(warm), **how))
     return (steps.select(F.explode("prev.v").alias("p"), F.col("next.v").alias("s"))

@@ -94,7 +94,7 @@ def rule_states(log: DataFrame, rules: Iterable[Rule], hot: Hot = None) -> DataF
     rules = list(rules)
     cold, warm = split_hot(log, hot)
     balances = [F.col(f"b{i}") for i in range(len(rules))]
-    out = (cold.repartition("case").select("case", "label", *_sums(rules, ["case"]))
+    out = (cold.select("case", "label", *_sums(rules, ["case"]))
            .select("case", "label", (F.col("n") - 1).alias("idx"), F.array(*balances).cast("array<bigint>").alias("balances")))
     if warm is None:
         return out

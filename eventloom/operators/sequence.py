@@ -8,7 +8,8 @@ leaves one carry row per case; the carry rows are stitched in the order of the p
 
 Which cases are large is counted, not estimated. The counting is cheap where there is none: rows are first
 counted by a hash of the case, combined on the map side, and a hash with few rows holds no large case.
-Both routes give the same rows, and every row takes one of them. The parts are written down before
+Both routes give the same rows, and every row takes one of them. The same count says into how many
+tasks the ordinary cases are dealt, so a task holds about as many rows however long the log is. The parts are written down before
 they are used, so a recomputed task always sees the same cut.
 """
 
@@ -27,6 +28,8 @@ EVENT_ORDER = ("ms", "tie")
 #: A case is large from this many rows on; parts of large cases have about PART_ROWS. Both set the route, never the result.
 LARGE_ROWS = 1_000_000
 PART_ROWS = 250_000
+#: Rows of ordinary cases that a task gets, about.
+TASK_ROWS = 200_000
 #: Hashes that rows are counted by first.
 HASHES = 1 << 16
 #: Large cases up to which their list is sent to every task; a longer one is joined by key.
@@ -34,37 +37,48 @@ SENT_CASES = 100_000
 
 
 class Large(NamedTuple):
-    """The large cases of a log."""
-    keys: DataFrame
+    """The large cases of a log, None if it has none; and the rows of the whole log."""
+    keys: DataFrame | None
     sent: bool
+    rows: int
 
 
 #: What callers pass on: the large cases, an empty list for none, or None to have them counted.
 Hot = Large | Sequence | None
 
 
-def hot_cases(df: DataFrame, by: Sequence[str] = ("case",), rows: int | None = None) -> Large | list:
-    """The groups of at least ``rows`` rows, as a table of ``by``; an empty list if there are none."""
+def hot_cases(df: DataFrame, by: Sequence[str] = ("case",), rows: int | None = None) -> Large:
+    """The groups of at least ``rows`` rows, as a table of ``by``; and the number of all rows."""
     rows, by = rows or LARGE_ROWS, list(by)
     h = F.pmod(F.xxhash64(*by), F.lit(HASHES))
-    full = [r.h for r in df.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rows).select("h").collect()]
+    counted = df.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    found = counted.agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") >= rows, F.col("h"))).alias("full")).first()
+    full, total = found.full, found.n or 0
     if not full:
-        return []
+        return Large(None, True, total)
     some = df if len(full) > 1000 else df.filter(h.isin(full))
     keys = cut_lineage(some.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rows).select(F.struct(*by).alias("__k")))
     count = keys.count()
-    return Large(keys, count <= SENT_CASES) if count else []
+    return Large(keys if count else None, count <= SENT_CASES, total)
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``df`` partitioned by ``keys`` in tasks of about TASK_ROWS, as it has ``rows`` rows or fewer.
+
+    Left to the session the number of tasks is fixed or follows the bytes of the shuffle, which a log has few of.
+    """
+    return df.repartition(1 + rows // TASK_ROWS, *keys)
 
 
 def split_hot(df: DataFrame, hot: Hot = None, by: Sequence[str] = ("case",)) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of ordinary groups, and those of large groups if there are any."""
+    """The rows of ordinary groups, partitioned by ``by``, and those of large groups if there are any."""
     hot = hot_cases(df, by) if hot is None else hot
-    if not isinstance(hot, Large):
-        return df, None
+    if not isinstance(hot, Large) or hot.keys is None:
+        return dealt(df, by, hot.rows if isinstance(hot, Large) else df.count()), None
     # the keys are fields of a struct, so that a NULL key equals itself
     keys = F.broadcast(hot.keys) if hot.sent else hot.keys
     keyed = df.withColumn("__k", F.struct(*by))
-    return keyed.join(keys, "__k", "left_anti").drop("__k"), keyed.join(keys, "__k", "left_semi").drop("__k")
+    return dealt(keyed.join(keys, "__k", "left_anti").drop("__k"), by, hot.rows), keyed.join(keys, "__k", "left_semi").drop("__k")
 
 
 def with_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -88,16 +102,17 @@ def neighbours(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",),
 
 
 def followers(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER) -> DataFrame:
-    """Ordinary groups only, one row for each: ``prev.v``, ``next.v`` (``next`` is NULL at the end), ``first``."""
-    rows = _within(df.repartition(*keys), payload, list(keys), order, None)
+    """Ordinary groups only, as ``split_hot`` gives them, one row for each: ``prev.v``, ``next.v`` (``next`` is NULL at the end), ``first``."""
+    rows = _within(df, payload, list(keys), order, None)
     w = Window.partitionBy(*keys).orderBy(*_order_of(rows))
     return rows.select(*keys, F.col("item").alias("prev"), F.lead("item").over(w).alias("next"), (F.row_number().over(w) == 1).alias("first"))
 
 
 def neighbours_ordinary(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
                         endpoints: bool = False, batch_of: Column | None = None) -> DataFrame:
+    """Ordinary groups only, as ``split_hot`` gives them."""
     keys = list(keys)
-    return _plain(_within(df.repartition(*keys), payload, keys, order, batch_of), keys, endpoints)
+    return _plain(_within(df, payload, keys, order, batch_of), keys, endpoints)
 
 
 def neighbours_hot(df: DataFrame, payload: Column, keys: Sequence[str] = ("case",), order: Sequence[str] = EVENT_ORDER,
@@ -165,7 +180,7 @@ def running_total(df: DataFrame, value: Column, out: str, keys: Sequence[str] =
     until = lambda k: Window.partitionBy(*k).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cold, warm = split_hot(df.withColumn("__v", value), hot, by)
     less = F.col("__v") if exclusive else F.lit(0)
-    res = cold.repartition(*by).withColumn(out, F.sum("__v").over(until(keys)) - less).drop("__v")
+    res = cold.withColumn(out, F.sum("__v").over(until(keys)) - less).drop("__v")
     if warm is None:
         return res
     parts = with_parts(warm, [*by, *order]).repartition(*by, "slice")

@@ -283,3 +283,16 @@ def test_expiry_boundaries(spark, route):
 def test_period_includes_both_ends(spark):
     log = frame(spark, [(1, "A", 10, 0), (1, "B", 20, 1), (1, "C", 30, 2), (1, "D", 31, 3)])
     assert bag(rec.bootstrap(log, 5, 10, 30).dfr) == {("A", "B"): 1, ("B", "C"): 1}
+
+
+def test_tasks_of_ordinary_cases_follow_the_rows(spark, monkeypatch):
+    from eventloom.operators import sequence
+    monkeypatch.setattr(sequence, "TASK_ROWS", 100, raising=False)
+    events = spark.range(3000).select((F.col("id") % 500).alias("c"), (F.col("id") % 3).cast("string").alias("l"), F.col("id").alias("t"))
+    log = as_log(events, "c", "l", "t")
+    steps = sequence.neighbours(log, F.col("label")).withColumn("task", F.spark_partition_id())
+    made = [r["count"] for r in steps.groupBy("task").count().collect()]
+    assert sum(made) == 2500 and max(made) < 400
+    # known to have no large case, the rows are counted all the same
+    assert sequence.split_hot(log, [])[0].rdd.getNumPartitions() == 31
+    assert sequence.split_hot(log.limit(0))[0].count() == 0
