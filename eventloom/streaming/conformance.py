@@ -24,27 +24,35 @@ from eventloom.session import scratch_path
 from eventloom.streaming.maintained import Folders
 
 
+def _group_rows(frames: Iterable[pd.DataFrame], *columns: str) -> list[tuple]:
+    """The rows of a group, which are few, as tuples ordered by the first column. Work on frames would cost more than the rows."""
+    return sorted((r for f in frames for r in zip(*(f[c].tolist() for c in columns))), key=lambda r: r[0])
+
+
 def _carry_totals(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     sums, events, last = state.get if state.exists else (None, 0, -1)
     out = []
-    for r in pd.concat(frames).sort_values("batch").to_dict("records"):
-        if r["batch"] <= last:
+    for batch, totals_of, events_of in _group_rows(frames, "batch", "totals", "events"):
+        if batch <= last:
             continue  # a replayed micro-batch
-        added = [int(t) for t in r["totals"]]
+        added = [int(t) for t in totals_of]
         sums = [0] * len(added) if sums is None else list(sums)
-        out.append((key[0], sums, int(events), int(r["batch"])))
-        sums, events, last = [a + b for a, b in zip(sums, added)], events + int(r["events"]), int(r["batch"])
-    if sums is not None:
+        out.append((key[0], sums, int(events), int(batch)))
+        sums, events, last = [a + b for a, b in zip(sums, added)], events + int(events_of), int(batch)
+    if out:
         state.update((sums, int(events), int(last)))
-    yield pd.DataFrame(out, columns=["case_id", "totals", "events", "batch"])
+        yield pd.DataFrame(out, columns=["case_id", "totals", "events", "batch"])
 
 
 def _only_new(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     known = set(state.get[0]) if state.exists else set()
-    rows = pd.concat(frames).sort_values("idx").drop_duplicates("rule_id")
-    rows = rows[~rows["rule_id"].isin(known)]
-    state.update((sorted(known | {int(r) for r in rows["rule_id"]}),))
-    yield pd.DataFrame({"case_id": [key[0]] * len(rows), "idx": rows["idx"].tolist(), "rule_id": rows["rule_id"].tolist()})
+    new = {}
+    for idx, rule_id in _group_rows(frames, "idx", "rule_id"):
+        if rule_id not in known:
+            new.setdefault(int(rule_id), int(idx))
+    if new:
+        state.update((sorted(known | set(new)),))
+        yield pd.DataFrame({"case_id": [key[0]] * len(new), "idx": list(new.values()), "rule_id": list(new)})
 
 
 class ConformanceStream:
