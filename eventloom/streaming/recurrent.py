@@ -55,6 +55,7 @@ def ends_of(log: DataFrame, clock_ms: int | None) -> DataFrame:
 
 
 def _stitcher(interval_ms: int, expire: bool):
+    taken = ["batch", "head", "head_ms", "tail", "tail_ms"]
     columns = ["case_id", "kind", "p", "p_ms", "s", "s_ms"]
 
     def stitch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -62,17 +63,18 @@ def _stitcher(interval_ms: int, expire: bool):
             state.remove()
             return
         last = state.get if state.exists else None
-        rows = pd.concat(frames).sort_values("batch").to_dict("records")
         out = []
-        for r in rows:
-            if last is not None and r["batch"] <= last[2]:
+        # a group has a row or two: work on frames would cost more than all else
+        rows = (r for f in frames for r in zip(*(f[c].tolist() for c in taken)))
+        for batch, head, head_ms, tail, tail_ms in sorted(rows, key=lambda r: r[0]):
+            if last is not None and batch <= last[2]:
                 continue  # a replayed micro-batch
-            head_ms = int(r["head_ms"])
+            head_ms = int(head_ms)
             if last is None or (expire and head_ms >= last[1] + interval_ms):
-                out.append((key[0], "start", None, None, r["head"], head_ms))
+                out.append((key[0], "start", None, None, head, head_ms))
             else:
-                out.append((key[0], "pair", last[0], last[1], r["head"], head_ms))
-            last = (r["tail"], int(r["tail_ms"]), int(r["batch"]))
+                out.append((key[0], "pair", last[0], last[1], head, head_ms))
+            last = (tail, int(tail_ms), int(batch))
         if last is not None:
             state.update(last)
             if expire:
@@ -80,10 +82,9 @@ def _stitcher(interval_ms: int, expire: bool):
                     state.setTimeoutTimestamp(last[1] + interval_ms)
                 else:
                     state.remove()
-        frame = pd.DataFrame(out, columns=columns)
-        for c in ("p_ms", "s_ms"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
+        if out:
+            # a missing number must not turn the others into floats
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) if c.endswith("_ms") else list(v) for c, v in zip(columns, zip(*out))})
 
     return stitch
 

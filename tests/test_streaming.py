@@ -133,3 +133,30 @@ def test_sliding_window_on_a_stream(spark):
          .writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start())
     q.awaitTermination()
     assert bag(spark.table("windows").select("window_start", "frequency")) == [(-2000, 1), (0, 2), (2000, 2), (4000, 1)]
+
+
+def test_groups_are_worked_without_frames(monkeypatch):
+    """A group has a row or two: joining and sorting frames would cost more than all else."""
+    import pandas as pd
+    from eventloom.streaming import conformance, recurrent
+
+    class State:
+        hasTimedOut = exists = False
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+    monkeypatch.setattr(pd, "concat", None)
+    ends = pd.DataFrame([(7, "C", 2**53 + 1, None, 2**53 + 2, 1), (7, "A", 1, "B", 2, 0)], columns=["case_id", "head", "head_ms", "tail", "tail_ms", "batch"])
+    state, stitch = State(), recurrent._stitcher(100, False)
+    (out,) = stitch((7,), iter([ends]), state)
+    assert list(out.itertuples(index=False, name=None)) == [(7, "start", None, None, "A", 1), (7, "pair", "B", 2, "C", 2**53 + 1)]
+    assert state.get == (None, 2**53 + 2, 1) and list(stitch((7,), iter([ends]), state)) == []
+    state = State()
+    sums = pd.DataFrame({"case_id": [7, 7], "totals": [[1, -1], [2, 0]], "events": [3, 4], "batch": [1, 0]})
+    (out,) = conformance._carry_totals((7,), iter([sums]), state)
+    assert out.values.tolist() == [[7, [0, 0], 0, 0], [7, [2, 0], 4, 1]] and state.get == ([3, -1], 7, 1)
+    state = State()
+    found = [pd.DataFrame({"idx": [5, 2, 9], "rule_id": [1, 1, 3]}), pd.DataFrame({"idx": [1], "rule_id": [3]})]
+    (out,) = conformance._only_new((7,), iter(found), state)
+    assert out.values.tolist() == [[7, 1, 3], [7, 2, 1]] and state.get == ([1, 3],) and list(conformance._only_new((7,), iter(found), state)) == []
